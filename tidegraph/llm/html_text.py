@@ -7,7 +7,7 @@ forms, comments, by element or by the words of class, id and role) or `open`
 
 For pages without one, the host decides: the pages' open blocks and the noise of
 the host's other pages are laid out as one stream per host, strings of at least
-`repeat_bytes` bytes that start at two places of the host's streams are found
+`repeat_bytes` bytes that start in streams of two pages are found
 with the suffix arrays of suffix.py (equal runs counted together, so a host with
 a third of all pages is no single task), what they cover is removed, and the
 unique runs stay.
@@ -163,7 +163,7 @@ def extract(pages: DataFrame, repeat_bytes: int = 48) -> DataFrame:
     raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = stage(spark, raw.mapInArrow(read, "page_id long, url string, text string, host string, open array<string>, noise string"), "pages")
     rows = rows.withColumn("stream", F.encode(F.concat_ws("\n", F.array_join("open", "\n"), "noise"), "UTF-8")).withColumn("uid", F.unhex(F.md5(F.concat_ws("\n", "host", "stream"))))
-    found = repeats(rows.select("uid", F.col("host").alias("scope"), F.col("stream").alias("data")), repeat_bytes, k=repeat_bytes // 3)
+    found = repeats(rows.select("uid", F.col("host").alias("scope"), F.col("stream").alias("data")), repeat_bytes, k=repeat_bytes // 3, across=True)
     spans = found.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,12 +74,12 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_topk, op4_chat,
 ORACLES = {
     "op3_topk": """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as v from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id as vec_id,
-         list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i]))::bigint as score
+         list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
   from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
 select query_id, rank::int as rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5""",

@@ -163,24 +163,41 @@ def _anchors(data: bytes, length: int, k: int, shift: int) -> tuple[np.ndarray,
     return h[at], at + shift, first + shift, last + shift
 
 
-def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each text the starts of its `length`-byte strings that also start elsewhere in these texts (or again in it)."""
+def repeated_starts(texts: list[bytes], length: int, owners: list | None = None) -> list[np.ndarray]:
+    """For each text the starts of its `length`-byte strings that also start elsewhere in these texts (or again in it).
+
+    With owners, one per text, they must also start in a text of another owner;
+    an owner of None differs from all.
+    """
     joined = b"\xff".join(texts)
     sa = suffix_array(joined)
     hit = bytearray(len(joined))
-    bad = b"\xff"
-    last, last_at = b"", -1
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    last, same = b"", []
+
+    def close() -> None:
+        if len(same) > 1:
+            if owners is not None:
+                whose = [owners[k] for k in np.searchsorted(ends, same, side="right")]
+                if None not in whose and len(set(whose)) == 1:
+                    return
+            for i in same:
+                hit[i] = 1
+
     for i in sa:
         piece = joined[i : i + length]
         if piece == last:
-            hit[i] = hit[last_at] = 1
-        last, last_at = piece, i
+            same.append(i)
+        else:
+            close()
+            last, same = piece, [i]
+    close()
     out, at = [], 0
     for t in texts:
         own = np.frombuffer(hit, np.uint8, len(t), at) if t else np.empty(0, np.uint8)
         starts = np.flatnonzero(own)
         out.append(starts[starts + length <= len(t)])
-        at += len(t) + len(bad)
+        at += len(t) + 1
     return out
 
 
@@ -199,12 +216,12 @@ def _scope_seed(scope: str | None) -> int:
     return xxhash.xxh64_intdigest(scope.encode()) if scope else 0
 
 
-def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000) -> DataFrame:
+def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000, across: bool = False) -> DataFrame:
     """(uid binary, scope string, data binary) -> (uid, lo, hi): windows lo .. hi (starts, both included) that repeat in their scope.
 
     One row of `texts` for each text, copies included; equal texts share their
-    uid, so each gets rows once.  Only strings of `length` bytes count, however
-    often they stand.
+    uid, so each gets rows once.  With `across`, a string must start in texts of
+    two uids.
     """
     spark = texts.sparkSession
 
@@ -238,7 +255,8 @@ def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000)
             yield b.filter(pa.array((bits[(a & ((1 << 26) - 1)) >> 6] >> (a & 63)) & 1 == 1))
 
     kept = stage(spark, runs.mapInArrow(keep, _RUNS), "kept")
-    kinds = kept.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "hi")).alias("at"))
+    places = kept.dropDuplicates(["anchor", "run", "uid"]) if across else kept
+    kinds = places.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "hi")).alias("at"))
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     kinds = stage(spark, kinds.join(anchors, "anchor"), "kinds")
     # a whole run that stands twice repeats in all its windows
@@ -253,45 +271,47 @@ def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000)
                 if uid in done:  # a copy
                     continue
                 done.add(uid)
-                yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in want], t) for c, t in (("anchor", pa.int64()), ("run", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()))] + [pa.array([data[w["lo"] : w["hi"] + length] for w in want], pa.binary())], ["anchor", "run", "n", "kinds", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in want], t) for c, t in (("anchor", pa.int64()), ("run", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()))] + [pa.array([uid] * len(want), pa.binary()), pa.array([data[w["lo"] : w["hi"] + length] for w in want], pa.binary())], ["anchor", "run", "n", "kinds", "uid", "data"])
 
     one = texts.select("uid", "data").join(wanted, "uid").select("uid", "data", "want")
-    pieces = stage(spark, one.mapInArrow(take, "anchor long, run long, n long, kinds long, data binary"), "pieces")
+    pieces = stage(spark, one.mapInArrow(take, "anchor long, run long, n long, kinds long, uid binary, data binary"), "pieces")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes, bytes]] = []
         size = 0
         for b in batches:
-            for anchor, run, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for anchor, run, n, uid, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and held[-1][:2] == (anchor, run):  # cut from another copy
                     continue
                 if held and size > 400_000 and held[-1][0] != anchor:  # an anchor's runs stay together
                     yield from work(held)
                     held, size = [], 0
-                held.append((anchor, run, n, data))
+                held.append((anchor, run, n, uid, data))
                 size += len(data) + 1
         yield from work(held)
 
-    def work(held: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def work(held: list[tuple[int, int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, int]] = []
-        found = repeated_starts([h[3] for h in held], length) if held else []
-        for (anchor, run, n, _), starts in zip(held, found, strict=True):
+        owners = [None if h[2] > 1 else h[3] for h in held] if across else None
+        found = repeated_starts([h[4] for h in held], length, owners) if held else []
+        for (anchor, run, n, _, _), starts in zip(held, found, strict=True):
             if n == 1:
                 rows += [(anchor, run, int(a), int(e)) for a, e in zip(*_ranges(starts), strict=True)]
         if rows:
             a = np.array(rows, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2].astype(np.int32)), pa.array(a[:, 3].astype(np.int32))], ["anchor", "run", "a", "b"])
 
-    few = pieces.where(F.col("kinds") <= most).select("anchor", "run", "n", "data").repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(sort, "anchor long, run long, a int, b int")
+    few = pieces.where(F.col("kinds") <= most).select("anchor", "run", "n", "uid", "data").repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(sort, "anchor long, run long, a int, b int")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for anchor, run, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for anchor, run, n, uid, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 m = len(data) - length + 1
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * m, pa.int64()), pa.array([run] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array(np.arange(m, dtype=np.int32)), pa.array([xxhash.xxh3_128_digest(data[i : i + length]) for i in range(m)], pa.binary())], ["anchor", "run", "n", "a", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array([anchor] * m, pa.int64()), pa.array([run] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array([uid] * m, pa.binary()), pa.array(np.arange(m, dtype=np.int32)), pa.array([xxhash.xxh3_128_digest(data[i : i + length]) for i in range(m)], pa.binary())], ["anchor", "run", "n", "uid", "a", "h"])
 
-    hot = pieces.where(F.col("kinds") > most).dropDuplicates(["anchor", "run"]).select("anchor", "run", "n", "data").mapInArrow(windows, "anchor long, run long, n long, a int, h binary")
-    often = hot.groupBy("anchor", "h").agg(F.sum("n").alias("c")).where("c > 1").select("anchor", "h")
+    hot = pieces.where(F.col("kinds") > most).dropDuplicates(["anchor", "run"]).select("anchor", "run", "n", "uid", "data").mapInArrow(windows, "anchor long, run long, n long, uid binary, a int, h binary")
+    twice = (F.min("uid") != F.max("uid")) | (F.max("n") > 1) if across else F.sum("n") > 1
+    often = hot.groupBy("anchor", "h").agg(twice.alias("twice")).where("twice").select("anchor", "h")
     many = hot.where("n = 1").join(often, ["anchor", "h"], "left_semi").select("anchor", "run", "a", F.col("a").alias("b"))
     marks = whole.union(few).union(many)
     return kept.join(marks, ["anchor", "run"]).select("uid", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence scores p = sigmoid(b + sum of its
-distinct words' weights); the document scores 1 - prod(1 - p), a noisy-or, so one
+distinct words' weights, each word's beginnings with it); the document scores 1 - prod(1 - p), a noisy-or, so one
 offending sentence is enough.  Weights are fitted to document labels alone
 (Adam on the log loss, an L1 pull towards zero), and the sentence scores then say
 where the offence stands.
@@ -37,26 +37,39 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
+def features(word: str) -> list[str]:
+    """A word and its beginnings, so that other forms of an offending stem count as well."""
+    return [word + "$", *(word[:k] for k in range(3, min(len(word), 7) + 1))]
+
+
 @dataclass
 class Model:
     bias: float
     weights: dict[str, float]
 
-    def sentence_scores(self, text: str) -> list[float]:
+    def __post_init__(self):
+        #: what an offending word begins with; most words are settled by this
+        self.heads = frozenset(f.rstrip("$")[:3] for f in self.weights)
+
+    def sentence_logit(self, sentence: str) -> float | None:
+        """None: nothing in it has a weight, its score is that of the bias."""
+        words = {w for w in _WORD.findall(sentence) if w[:3] in self.heads}
+        if not words:
+            return None
         get = self.weights.get
-        return [1 / (1 + np.exp(-(self.bias + sum(get(w, 0.0) for w in set(_WORD.findall(s)))))) for s in sentences(text)]
+        return self.bias + sum(get(f, 0.0) for f in {f for w in words for f in features(w)})
+
+    def sentence_scores(self, text: str) -> list[float]:
+        logits = [self.sentence_logit(s) for s in sentences(text)]
+        return [float(1 / (1 + np.exp(-(self.bias if z is None else z)))) for z in logits]
 
     def score(self, text: str | None) -> float:
-        """Noisy-or over all sentences; a text without sentences scores the least there is."""
-        # a word without weight changes nothing, so a sentence with none is the same everywhere
-        logs, plain = 0.0, np.logaddexp(0, self.bias)
-        get, bias = self.weights.get, self.bias
+        """Noisy-or over all sentences; a text without sentences scores 0."""
+        quiet, plain = 0.0, float(np.logaddexp(0, self.bias))
         for s in sentences(text or ""):
-            z = 0.0
-            for w in set(_WORD.findall(s)):
-                z += get(w, 0.0)
-            logs += np.logaddexp(0, bias + z) if z else plain
-        return float(min(1.0, max(0.0, -np.expm1(-logs))))
+            z = self.sentence_logit(s)
+            quiet += plain if z is None else float(np.logaddexp(0, z))
+        return float(min(1.0, max(0.0, -np.expm1(-quiet))))
 
     def offending(self, text: str | None, least: float = 0.5) -> list[tuple[str, float]]:
         """Sentences that score at least `least`, in order."""
@@ -64,43 +77,61 @@ class Model:
         return [(s.strip(), p) for s, p in zip(sentences(text), self.sentence_scores(text), strict=True) if p >= least]
 
 
-def fit(bags: list[list[list[str]]], labels: list[int], min_docs: int = 3, rounds: int = 150, rate: float = 0.1, l1: float = 2e-4, keep: float = 0.05) -> Model:
-    """Bags of sentences of distinct words, with a label each -> weights.  Without both labels: the rate of label 1, no words."""
-    y = np.array(labels, np.float64)
+def screen(bags: list[list[str]], labels: list[int], most: int = 2000, min_docs: int = 3) -> list[str]:
+    """Features that speak for label 1 by documents: log odds times the root of their count, the `most` highest."""
+    pos: dict[str, int] = {}
+    neg: dict[str, int] = {}
+    for bag, y in zip(bags, labels, strict=True):
+        into = pos if y else neg
+        for f in {f for w in {w for s in bag for w in s.split()} for f in features(w)}:
+            if y or f in pos:
+                into[f] = into.get(f, 0) + 1
+    n1 = sum(labels)
+    n0 = len(labels) - n1
+    scored = []
+    for f, a in pos.items():
+        odds = np.log((a + 0.5) / (n1 + 1)) - np.log((neg.get(f, 0) + 0.5) / (n0 + 1))
+        if a >= min_docs and odds > 1:
+            scored.append((-odds * a**0.5, f))
+    return [f for _, f in sorted(scored)[:most]]
+
+
+def fit(bags: list[list[str]], labels: list[int], rounds: int = 200, rate: float = 0.1, l1: float = 1e-4, keep: float = 0.05, most: int = 2000) -> Model:
+    """Bags of sentences (their words, joined by spaces), with a label each -> weights.
+
+    Documents of label 1 are read first, so that screening counts only what they
+    hold.  Without both labels: the rate of label 1, no words.
+    """
+    order = sorted(range(len(labels)), key=lambda k: -labels[k])
+    bags, y = [bags[k] for k in order], np.array([labels[k] for k in order], np.float64)
     if not len(y) or y.min() == y.max():
-        rate_1 = float(y.mean()) if len(y) else 0.0
-        p = min(max(rate_1, 1e-3), 1 - 1e-3)
+        p = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
         return Model(float(np.log(p / (1 - p))), {})
-    df: dict[str, int] = {}
-    for bag in bags:
-        for w in {w for s in bag for w in s}:
-            df[w] = df.get(w, 0) + 1
-    vocab = {w: k for k, w in enumerate(sorted(w for w, n in df.items() if n >= min_docs))}
-    words, s_of, d_of, n_s = [], [], [], 0
+    vocab = {f: k for k, f in enumerate(screen(bags, y.astype(int).tolist(), most))}
+    own, s_of, d_of, n_s = [], [], [], 0
     for k, bag in enumerate(bags):
-        # sentences with no word in the vocabulary still count for the bias
-        for s in bag:
-            own = [vocab[w] for w in s if w in vocab]
-            words += own
-            s_of += [n_s] * len(own)
+        for s in bag:  # sentences without a known feature still count for the bias
+            found = {vocab[f] for w in set(s.split()) for f in features(w) if f in vocab}
+            own += found
+            s_of += [n_s] * len(found)
             d_of.append(k)
             n_s += 1
-    words, s_of, d_of = np.array(words, np.int32), np.array(s_of, np.int32), np.array(d_of, np.int32)
+    own, s_of, d_of = np.array(own, np.int32), np.array(s_of, np.int32), np.array(d_of, np.int32)
     theta, bias = np.zeros(len(vocab)), -6.0
     m, v = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1)
     for step in range(1, rounds + 1):
-        z = bias + np.bincount(s_of, theta[words], n_s)
+        z = bias + np.bincount(s_of, theta[own], n_s)
         p = 1 / (1 + np.exp(-z))
         quiet = np.bincount(d_of, np.logaddexp(0, z), len(y))  # -log of the chance that no sentence offends
         doc = np.maximum(-np.expm1(-quiet), 1e-9)
         grad_z = p * ((doc - y) / doc)[d_of] / len(y)
-        g = np.append(np.bincount(words, grad_z[s_of], len(vocab)), grad_z.sum())
+        g = np.append(np.bincount(own, grad_z[s_of], len(vocab)), grad_z.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
         theta -= move[:-1]
-        theta = np.sign(theta) * np.maximum(np.abs(theta) - rate * l1 * 10, 0)
+        theta = np.sign(theta) * np.maximum(np.abs(theta) - rate * l1, 0)
         bias -= move[-1]
-    return Model(float(bias), {w: float(theta[k]) for w, k in vocab.items() if abs(theta[k]) > keep})
+    return Model(float(bias), {f: float(theta[k]) for f, k in vocab.items() if abs(theta[k]) > keep})
 
 
 def train(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Model:
@@ -125,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(read, "doc_id long, bag array<string>").orderBy("doc_id", F.xxhash64("bag"))
     for batch in got.toArrow().to_batches():
         for i, bag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            bags.append([s.split() for s in bag])
+            bags.append(bag)
             y.append(int(chosen[i] > 0))
     return fit(bags, y)
 
