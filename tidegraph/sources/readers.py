@@ -69,11 +69,8 @@ def actions(pairs: DataFrame) -> DataFrame:
     return pairs.select("eid", F.when(F.col("src") < 0, -1).otherwise(1).alias("op"), F.abs("src").alias("src"), F.abs("dst").alias("dst"))
 
 
-def binary_edges(spark: SparkSession, path: str, wide: bool = True, weight: str | None = None) -> DataFrame:
-    """Packed (src, dst[, weight]) records of whole files, as (src, dst[, weight]).
-
-    A file is one row here: cut inputs into files of a bounded size, or use Parquet.
-    """
+def unpack(files: DataFrame, wide: bool = True, weight: str | None = None) -> DataFrame:
+    """(content) of packed little-endian records (src, dst[, weight]) -> rows."""
     kind = [("src", "<u8" if wide else "<u4"), ("dst", "<u8" if wide else "<u4")] + ([("weight", weight)] if weight else [])
     record = np.dtype(kind)
     real = weight is not None and record["weight"].kind == "f"
@@ -86,7 +83,12 @@ def binary_edges(spark: SparkSession, path: str, wide: bool = True, weight: str
                 yield pa.RecordBatch.from_arrays(cols, [n for n, _ in kind])
 
     out = "src long, dst long" + (f", weight {'double' if real else 'long'}" if weight else "")
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, out)
+    return files.select("content").mapInArrow(run, out)
+
+
+def binary_edges(spark: SparkSession, path: str, wide: bool = True, weight: str | None = None) -> DataFrame:
+    """Packed records of whole files.  A file is one row here: cut inputs into files of a bounded size, or use Parquet."""
+    return unpack(spark.read.format("binaryFile").load(path), wide, weight)
 
 
 def csr_edges(offsets: DataFrame, nbrs: DataFrame) -> DataFrame:
