@@ -36,8 +36,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it whole, and once more in part where the sample ends in it."""
-    weighted = docs.select(*COLUMNS).join(queries.quality_weights(spark, sf_dir), "doc_id", "left")
-    return mixing.mixed_rows(weighted, F.col("weight")).select(*COLUMNS)
+    return mixing.mixed_rows(docs.select(*COLUMNS), queries.quality_weights(spark, sf_dir))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,21 +56,27 @@ def unit(row_key: Column) -> Column:
     return (F.conv(F.substring(F.md5(row_key), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, share: float = 1.5, max_epochs: int = 2, weights: tuple[float, ...] = WEIGHTS, buckets: int = 1024) -> DataFrame:
+def _keyed(d: DataFrame, weights_of: DataFrame | None) -> DataFrame:
+    """Rows with doc_id, weighed by (doc_id, weight), and their exponential key.  Texts must be gone by now: this join shuffles."""
+    if weights_of is not None:
+        d = d.join(weights_of.select("doc_id", F.col("weight").cast("double").alias("_w")), "doc_id", "left")
+    weight = F.coalesce("_w", F.lit(1.0)) if weights_of is not None else F.lit(1.0)
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("mix"))
+    return d.withColumn("es_key", -F.log(unit(key)) / weight).drop("_w")
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = 1.5, max_epochs: int = 2, weights: tuple[float, ...] = WEIGHTS, buckets: int = 1024) -> DataFrame:
     """(doc_id, text, source) -> (doc_id, size, source, source_size, target, epochs, taken).
 
     size: the text's words (null: 0); taken: words the mix takes of the document,
     whole epochs plus its part of the sample, at most max_epochs times its size.
-    quality: a positive weight of the document, null as 1.  Rows with the same
-    doc_id are mixed like others and told apart by the hash of their text; rows
-    that agree in both are the same document twice, and ties of keys are broken
-    by doc_id and then size.  Null sources are one source.  Other columns are
-    dropped.
+    quality: (doc_id, weight), a positive weight each, one row per doc_id; others
+    weigh 1.  Rows with the same doc_id are mixed like others; ties of keys are
+    broken by doc_id and then size.  Null sources are one source.  Other columns
+    are dropped.
     """
-    weight = F.coalesce(quality if quality is not None else F.lit(1.0), F.lit(1.0)).cast("double")
-    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("mix"))
-    d = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), (-F.log(unit(key)) / weight).alias("es_key"))
-    return mix_sized(d, share, max_epochs, weights, buckets)
+    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return mix_sized(_keyed(d, quality), share, max_epochs, weights, buckets)
 
 
 def mix_sized(d: DataFrame, share: float, max_epochs: int, weights: tuple[float, ...], buckets: int) -> DataFrame:
@@ -91,19 +97,21 @@ def mix_sized(d: DataFrame, share: float, max_epochs: int, weights: tuple[float,
     return rows.withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).drop("s", "b", "bucket", "before", "bucket_start", "es_key")
 
 
-def mixed_rows(docs: DataFrame, quality: Column | None = None, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, quality: DataFrame | None = None, share: float = 1.5, max_epochs: int = 2, weights: tuple[float, ...] = WEIGHTS, buckets: int = 1024) -> DataFrame:
     """docs (doc_id, text, source, n_chars and others) as the mix takes them: a row per epoch, then one with the first words of a part.
 
     A text's part ends after its last word taken.  n_chars is counted anew.
-    Documents without words are in no epoch and go.
+    Documents without words are in no epoch and go.  Rows that agree in doc_id,
+    source and text share what is taken of them evenly.  The mix is made without
+    the texts, which are dealt out once, to meet their takes.
     """
-    weight = F.coalesce(quality if quality is not None else F.lit(1.0), F.lit(1.0)).cast("double")
-    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("mix"))
-    whole = docs.withColumn("size", n_words(F.col("text"))).withColumn("es_key", -F.log(unit(key)) / weight)
-    d = mix_sized(whole, options.get("share", 1.5), options.get("max_epochs", 2), options.get("weights", WEIGHTS), options.get("buckets", 1024))
-    part = (F.col("taken") - F.col("epochs") * F.col("size")).cast("int")
-    takes = F.concat(F.array_repeat(F.col("size").cast("int"), F.col("epochs").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    rows = d.where("taken > 0").withColumn("_take", F.explode(takes))
+    h = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", F.coalesce("text", F.lit("")))
+    whole = docs.withColumns({"_u": h, "_size": n_words(F.col("text"))})
+    units = whole.groupBy("_u", "doc_id", "source", "_size").agg(F.count("*").alias("_m")).withColumn("size", F.col("_size") * F.col("_m"))
+    mixed = mix_sized(_keyed(units, quality), share, max_epochs, weights, buckets).where("taken > 0")
+    part = (F.floor(F.col("taken") / F.col("_m")) - F.col("epochs") * F.col("_size")).cast("int")
+    takes = F.concat(F.array_repeat(F.col("_size").cast("int"), F.col("epochs").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    rows = whole.join(mixed.select("_u", "_size", takes.alias("_takes")), ["_u", "_size"]).withColumn("_take", F.explode("_takes"))
     cut = F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, _take), '')")
-    rows = rows.withColumn("text", F.when(F.col("_take") < F.col("size"), cut).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(F.col("_take") < F.col("_size"), cut).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

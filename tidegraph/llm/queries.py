@@ -48,8 +48,8 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(quality_weights(spark, sf_dir), "doc_id", "left")
-    return mixing.mix(docs, F.col("weight")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
