@@ -70,8 +70,8 @@ def csr(vertices: DataFrame, edges: DataFrame, ranges: int = 64) -> DataFrame:
     Vertices are dense from 0; a range's start comes from the sums of the ranges before it.
     """
     degree = vertices.join(edges.groupBy(F.col("src").alias("vid")).agg(F.count("*").alias("degree")), "vid", "left").fillna(0, ["degree"])
-    n = vertices.agg((F.max("vid") + 1).alias("n"))
-    d = degree.crossJoin(F.broadcast(n)).withColumn("r", F.floor(F.col("vid") * ranges / F.greatest(F.col("n"), F.lit(1))).cast("int"))
+    n = (vertices.agg(F.max("vid")).first()[0] or 0) + 1
+    d = degree.withColumn("r", F.floor(F.col("vid") * ranges / n).cast("int"))
     sums = d.groupBy("r").agg(F.sum("degree").alias("s"))
     starts = sums.select("r", F.coalesce(F.sum("s").over(W.partitionBy(F.lit(0)).orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # `ranges` rows
     inner = W.partitionBy("r").orderBy("vid").rowsBetween(W.unboundedPreceding, -1)

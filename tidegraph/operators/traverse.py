@@ -50,7 +50,12 @@ class Pattern:
             else:
                 e = e.where(F.col(side) == term).drop(side)
         shared = [n for n in names if self.rows is not None and n in self.rows.columns]
-        self.rows = e if self.rows is None else self.rows.join(e, shared) if shared else self.rows.join(e, how="left_semi" if not names else "cross")
+        if self.rows is None:
+            self.rows = e
+        elif shared:
+            self.rows = self.rows.join(e, shared)
+        else:
+            raise ValueError(f"{subject} {predicate} {obj} shares no variable with the pattern so far")
         return self
 
     def select(self, *variables: str) -> DataFrame:
