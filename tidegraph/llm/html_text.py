@@ -1,7 +1,7 @@
 """Main text of web pages, with a host's boilerplate found by suffix arrays.
 
 A page is read once into blocks, each with the zone it stands in: `main` (inside
-article or main), `noise` (menus, headers, footers, sidebars, notices, adverts,
+article, main or an element named so), `noise` (menus, headers, footers, sidebars, notices, adverts,
 forms, comments, by element or by the words of class, id and role) or `open`
 (markup doesn't say).  Where there is a main zone its blocks are the text.
 
@@ -9,8 +9,8 @@ For pages without one, the host decides: the pages' open blocks and the noise of
 the host's other pages are laid out as one stream per host, strings of at least
 `repeat_bytes` bytes that start in streams of two pages are found
 with the suffix arrays of suffix.py (equal runs counted together, so a host with
-a third of all pages is no single task), what they cover is removed, and the
-unique runs stay.
+a third of all pages is no single task), blocks that they cover are removed, and
+the unique runs stay.
 """
 
 from __future__ import annotations
@@ -39,8 +39,11 @@ NOISE_WORDS = frozenset(
     "share sharing social related recommended recommendations newsletter subscribe subscription signup popup modal overlay widget pager pagination toolbar "
     "copyright login search skip contentinfo complementary topbar dialog legal disclaimer".split()
 )
+#: Pairs of such words mark the article where there is no element for it.
+MAIN_WORDS = frozenset("article articlebody".split())
+MAIN_OF, MAIN_PART = frozenset("entry post story main page".split()), frozenset("content body text".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -59,6 +62,16 @@ def _noisy(name: str, attrs: str) -> bool:
     return False
 
 
+def _holds_article(attrs: str) -> bool:
+    """Whether class, id, role or itemprop say that the element is the article."""
+    for key, value in _ATTR.findall(attrs):
+        words = set(_WORDS.findall(value.lower()))
+        key = key.lower()
+        if key == "role" and words & {"main", "article"} or key in ("class", "id", "itemprop") and (words & MAIN_WORDS or words & MAIN_OF and words & MAIN_PART):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """(zone, text) of a page's blocks in page order, white space turned into one space, empty blocks left out."""
     out: list[tuple[str, str]] = []
@@ -117,7 +130,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 stack.pop()
             zone = stack[-1][1] if stack else "open"
         noisy = name in NOISE or name == "header" and zone != "main" or _noisy(name, attrs)
-        own = "noise" if zone == "noise" or noisy else "main" if name in ("article", "main") else zone
+        own = "noise" if zone == "noise" or noisy else "main" if name in ("article", "main") or zone == "open" and attrs and name in BLOCK and _holds_article(attrs) else zone
         if name in BLOCK or own != zone:
             if own != zone:
                 flush()
@@ -141,8 +154,8 @@ def extract(pages: DataFrame, repeat_bytes: int = 48) -> DataFrame:
     Blocks are joined in page order by two newlines.  Null or empty html and
     pages of markup only give an empty text.  A null or odd url is the host "".
     Null and repeated page_ids are kept, one row per row.  A block in an open
-    zone whose text is left with half its length or less by what the host
-    repeats goes whole; else the unique rest stays.
+    zone goes if what the host repeats covers half of it or more, and stays as it
+    is otherwise, so no block is cut.
     """
     spark = pages.sparkSession
 
@@ -180,7 +193,7 @@ def extract(pages: DataFrame, repeat_bytes: int = 48) -> DataFrame:
 
 
 def unique_runs(free: list[str], spans: list[tuple[int, int]], length: int) -> list[str]:
-    """Open blocks (laid end to end, a newline between) without the bytes that repeated windows cover."""
+    """Open blocks (laid end to end, a newline between) of which repeated windows cover less than half."""
     data = [t.encode("utf-8", "surrogatepass") for t in free]
     covered = np.zeros(sum(map(len, data)) + len(data), bool)
     if spans:
@@ -191,9 +204,6 @@ def unique_runs(free: list[str], spans: list[tuple[int, int]], length: int) -> l
     for d in data:
         own = covered[at : at + len(d)]
         at += len(d) + 1
-        if own.sum() * 2 >= len(d):
-            continue
-        text = _SPACE.sub(" ", bytes(np.frombuffer(d, np.uint8)[~own]).decode("utf-8", "ignore")).strip()
-        if text:
-            out.append(text)
+        if own.sum() * 2 < len(d):
+            out.append(d.decode("utf-8", "surrogatepass"))
     return out
