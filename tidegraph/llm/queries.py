@@ -72,6 +72,17 @@ def op10_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_topk, op4_chat, op5_resharding, op6_mixing, op7_suffix_dedup, op8_toxicity, op9_html, op10_prefix_hash)}
 
 ORACLES = {
+    "op4_chat": r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+l as (select *, case when role = 'assistant' then text else '' end as learnt,
+             length(role) + length(text) + 4 + 2 + 9
+             + len(regexp_extract_all(role, '[\\#<:]')) + len(regexp_extract_all(text, '[\\#<:]')) as chars from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       sum(length(learnt))::bigint as loss_chars, sha256(string_agg(learnt, '' order by turn, role, text)) as loss_sha256,
+       sum(chars)::bigint as formatted_chars
+from l group by conv_id""",
     "op3_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
