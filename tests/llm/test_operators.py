@@ -373,6 +373,7 @@ def test_html_main_text(spark):
     <form><p>mail</p></form><blockquote>Quote</blockquote></article></main><div id="comments"><article><p>nice post</p></article></div><footer>&copy; me</footer></body></html>"""
     cut = '<body><nav>m<article><p>text goes on <a href="'
     assert html_text.blocks('<div class="sidebar">s</div><div id="post-content"><p>in</p></div><section class="post-comments">c</section>') == [("noise", "s"), ("main", "in"), ("noise", "c")]
+    assert html_text.blocks('<head><title>t</title><body><div id="header">h</div><article><div class="article-header"><h1>T</h1></div><select><p>x <iframe>y</article>') == [("noise", "h"), ("main", "T"), ("main", "x y")]
     df = spark.createDataFrame([(1, "http://a/1", page, "c"), (2, None, None, "c"), (None, "u", "", "c"), (4, "http://a/2", cut, "c"), (4, "http://a/2", "<script>x", "c"), (5, "x", "plain & simple", "c")], "page_id long, url string, html string, text string")
     got = {(r["page_id"], r["text"]) for r in rows(html_text.extract(df))}
     assert got == {(1, "Head & tail\n\nOne two three four\n\nUnclosed <x> €\n\nQuote"), (2, ""), (None, ""), (4, "text goes on"), (4, ""), (5, "plain & simple")}

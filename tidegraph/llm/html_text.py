@@ -35,7 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words of class, id and role that mark what isn't the article.
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert "
-    "sidebar side rail menu menubar navbar nav navigation breadcrumb breadcrumbs footer masthead comment comments commentlist discussion replies reply respond disqus "
+    "sidebar rail menu menubar navbar nav navigation breadcrumb breadcrumbs footer masthead comment comments commentlist discussion replies reply respond disqus "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup popup modal overlay widget pager pagination toolbar "
     "copyright login search skip contentinfo complementary topbar dialog legal disclaimer".split()
 )
@@ -48,7 +48,7 @@ _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _noisy(name: str, attrs: str) -> bool:
+def _noisy(name: str, attrs: str, inside: bool) -> bool:
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -57,7 +57,7 @@ def _noisy(name: str, attrs: str) -> bool:
             words = set(_WORDS.findall(value))
             if name in ("article", "main") and key != "role":
                 words &= {"comment", "comments", "reply", "advert", "ad", "sponsored", "related"}
-            if words & NOISE_WORDS:
+            if words & NOISE_WORDS or not inside and "header" in words:
                 return True
     return False
 
@@ -103,8 +103,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if name in RAW and not closing:
             if not attrs.rstrip().endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                # a head that is never closed ends where the body begins
-                at = close.end() if close else (b.start() if name == "head" and (b := re.compile(r"<body\b", re.I).search(page, at)) else at if name == "head" else end)
+                # never closed: a script and its like go to the end, as browsers have it; of others only the tag goes
+                at = close.end() if close else end if name in ("script", "style", "title", "textarea") else at
             continue
         if name in BLOCK:
             flush()
@@ -129,7 +129,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             while stack and stack[-1][1] == "noise" and page.find(f"</{stack[-1][0]}", at) < 0:
                 stack.pop()
             zone = stack[-1][1] if stack else "open"
-        noisy = name in NOISE or name == "header" and zone != "main" or _noisy(name, attrs)
+        noisy = name in NOISE or name == "header" and zone != "main" or _noisy(name, attrs, zone == "main")
         own = "noise" if zone == "noise" or noisy else "main" if name in ("article", "main") or zone == "open" and attrs and name in BLOCK and _holds_article(attrs) else zone
         if name in BLOCK or own != zone:
             if own != zone:
