@@ -100,7 +100,7 @@ def old_layout(d: DataFrame, shards: int = SHARDS) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(shards)).cast("int")
 
 
-def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS, split_share: float = 0.005, buckets: int = 512) -> DataFrame:
+def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS, split_share: float = 0.02, buckets: int = 512) -> DataFrame:
     """(doc_id, text, source) -> (doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard).
 
     size: UTF-8 bytes of the text (null: none) plus 1.  Null doc_ids and repeated
@@ -118,7 +118,7 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHAR
     old = {r["old_shard"]: int(r["bytes"]) for r in groups.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).collect()}
     share = max(1, int(sum(old.values()) * split_share / shards))
     wide = groups.where(F.col("bytes") > share).select(F.col("old_shard").alias("g_old"), F.col("h").alias("g_h"), F.col("size").alias("g_size"), F.ceil(F.col("bytes") / share).cast("int").alias("cuts"))
-    # groups over a share number at most shards / split_share, 1600, whatever the input
+    # groups over a share number at most shards / split_share, 400, whatever the input
     d = d.join(F.broadcast(wide), (F.col("old_shard") == F.col("g_old")) & (F.col("h") == F.col("g_h")) & (F.col("size") == F.col("g_size")), "left")
     salt = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("cuts")))
     d = d.withColumn("unit", F.xxhash64("h", "size", salt)).drop("g_old", "g_h", "g_size", "cuts")
