@@ -108,11 +108,11 @@ def suffix_array(s: bytes | list[int]) -> list[int]:
     return out
 
 
-def window_anchors(data: bytes, length: int, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows by anchor: (hash of the anchor's k-gram, first window, last window); empty if data is shorter than a window."""
+def window_anchors(data: bytes, length: int, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows by anchor: (hash of the anchor's k-gram, its place, first window, last window); empty if data is shorter than a window."""
     n = len(data)
     if n < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     found, step = [], 1 << 20
     for lo in range(0, n - length + 1, step):  # windows lo .. hi - 1
         hi = min(lo + step, n - length + 1)
@@ -121,8 +121,8 @@ def window_anchors(data: bytes, length: int, k: int, seed: int = 0) -> tuple[np.
     if len(found) > 1:  # a run that the cut between pieces has split
         cut = np.append(True, (pos[1:] != pos[:-1]))
         ends = np.append(np.flatnonzero(cut)[1:] - 1, len(pos) - 1)
-        h, first, last = h[cut], first[cut], last[ends]
-    return h ^ np.uint64(seed), first, last
+        h, pos, first, last = h[cut], pos[cut], first[cut], last[ends]
+    return h ^ np.uint64(seed), pos, first, last
 
 
 @functools.lru_cache(maxsize=4)
@@ -201,6 +201,36 @@ def repeated_starts(texts: list[bytes], length: int, owners: list | None = None)
     return out
 
 
+def shared_parts(runs: list[tuple[int, int, int, int, bytes, bytes]], length: int, step: int = 8) -> list[tuple]:
+    """One anchor's runs (anchor, run, n, off, data, uid) -> (anchor, run, n, uid, shift, data): what of each can be in a repeat.
+
+    Lossless: windows that start at one distance from the anchor are cut into
+    classes of `step` distances; all windows of a class hold the same core, so a
+    class whose core stands in one run only holds no repeat.
+    """
+    cores: dict[tuple[int, bytes], list[int]] = {}
+    places = []
+    for _, _, n, off, data, _ in runs:
+        last = len(data) - length
+        own = []
+        for j in range((off - min(off, last)) // step * step, off + 1, step):
+            lo, hi = max(0, off - j - step + 1), min(last, off - j)
+            if lo <= hi:
+                key = (j, data[off - j : off - j - step + 1 + length])
+                own.append((lo, hi, key))
+                c = cores.setdefault(key, [0, 0])
+                c[0] += 1
+                c[1] += n == 1
+        places.append(own)
+    out = []
+    for (anchor, run, n, _, data, uid), own in zip(runs, places, strict=True):
+        live = [(lo, hi) for lo, hi, key in own if (c := cores[key])[0] > 1 and c[1]]
+        if live:
+            lo, hi = min(x[0] for x in live), max(x[1] for x in live)
+            out.append((anchor, run, n, uid, lo, data[lo : hi + length]))
+    return out
+
+
 def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted starts -> first and last of each run of consecutive ones."""
     if not len(starts):
@@ -209,7 +239,7 @@ def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)]
 
 
-_RUNS = "uid binary, anchor long, run long, lo int, hi int"
+_RUNS = "uid binary, anchor long, run long, lo int, hi int, off short"
 
 
 def _scope_seed(scope: str | None) -> int:
@@ -227,18 +257,18 @@ def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uids, parts = [], ([], [], [], [])
+            uids, parts = [], ([], [], [], [], [])
             for uid, scope, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h, first, last = window_anchors(data, length, k, _scope_seed(scope))
+                h, pos, first, last = window_anchors(data, length, k, _scope_seed(scope))
                 if not len(h):
                     continue
                 runs = np.frombuffer(b"".join([xxhash.xxh3_64_digest(data[s : e + length]) for s, e in zip(first.tolist(), last.tolist(), strict=True)]), ">i8").astype(np.int64)
                 uids += [uid] * len(h)
-                for into, x in zip(parts, (h.view(np.int64), runs, first, last), strict=True):
+                for into, x in zip(parts, (h.view(np.int64), runs, first, last, pos - first), strict=True):
                     into.append(x)
             if uids:
-                h, runs, first, last = (np.concatenate(p) for p in parts)
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.binary()), pa.array(h), pa.array(runs), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["uid", "anchor", "run", "lo", "hi"])
+                h, runs, first, last, off = (np.concatenate(p) for p in parts)
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.binary()), pa.array(h), pa.array(runs), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(off.astype(np.int16))], ["uid", "anchor", "run", "lo", "hi", "off"])
 
     runs = stage(spark, texts.select("uid", "scope", "data").mapInArrow(cut, _RUNS), "runs")
     seen = runs.groupBy("anchor").count().where("count > 1").select("anchor")
@@ -256,13 +286,13 @@ def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000,
 
     kept = stage(spark, runs.mapInArrow(keep, _RUNS), "kept")
     places = kept.dropDuplicates(["anchor", "run", "uid"]) if across else kept
-    kinds = places.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "hi")).alias("at"))
+    kinds = places.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "hi", "off")).alias("at"))
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     kinds = stage(spark, kinds.join(anchors, "anchor"), "kinds")
     # a whole run that stands twice repeats in all its windows
     whole = kinds.where("n > 1").select("anchor", "run", F.lit(0).alias("a"), (F.col("at.hi") - F.col("at.lo")).alias("b"))
-    mixed = kinds.where("kinds > 1").select("anchor", "run", "n", "kinds", F.col("at.uid").alias("uid"), F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))
-    wanted = mixed.groupBy("uid").agg(F.collect_list(F.struct("anchor", "run", "n", "kinds", "lo", "hi")).alias("want"))
+    mixed = kinds.where("kinds > 1").select("anchor", "run", "n", "kinds", F.col("at.uid").alias("uid"), F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), F.col("at.off").alias("off"))
+    wanted = mixed.groupBy("uid").agg(F.collect_list(F.struct("anchor", "run", "n", "kinds", "lo", "hi", "off")).alias("want"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()
@@ -271,37 +301,41 @@ def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000,
                 if uid in done:  # a copy
                     continue
                 done.add(uid)
-                yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in want], t) for c, t in (("anchor", pa.int64()), ("run", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()))] + [pa.array([uid] * len(want), pa.binary()), pa.array([data[w["lo"] : w["hi"] + length] for w in want], pa.binary())], ["anchor", "run", "n", "kinds", "uid", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in want], t) for c, t in (("anchor", pa.int64()), ("run", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("off", pa.int16()))] + [pa.array([uid] * len(want), pa.binary()), pa.array([data[w["lo"] : w["hi"] + length] for w in want], pa.binary())], ["anchor", "run", "n", "kinds", "off", "uid", "data"])
 
     one = texts.select("uid", "data").join(wanted, "uid").select("uid", "data", "want")
-    pieces = stage(spark, one.mapInArrow(take, "anchor long, run long, n long, kinds long, uid binary, data binary"), "pieces")
+    pieces = stage(spark, one.mapInArrow(take, "anchor long, run long, n long, kinds long, off short, uid binary, data binary"), "pieces")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes, bytes]] = []  # an anchor's runs
+        laid: list[tuple] = []
         size = 0
         for b in batches:
-            for anchor, run, n, uid, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[-1][:2] == (anchor, run):  # cut from another copy
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[-1][:2] == row[:2]:  # cut from another copy
                     continue
-                if held and size > 400_000 and held[-1][0] != anchor:  # an anchor's runs stay together
-                    yield from work(held)
-                    held, size = [], 0
-                held.append((anchor, run, n, uid, data))
-                size += len(data) + 1
-        yield from work(held)
-
-    def work(held: list[tuple[int, int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+                if held and held[-1][0] != row[0]:
+                    laid += shared_parts(held, length)
+                    size += sum(len(h[4]) for h in held)
+                    held = []
+                    if size > 400_000:
+                        yield from work(laid)
+                        laid, size = [], 0
+                held.append(row)
+        yield from work(laid + shared_parts(held, length))
+
+    def work(laid: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, int]] = []
-        owners = [None if h[2] > 1 else h[3] for h in held] if across else None
-        found = repeated_starts([h[4] for h in held], length, owners) if held else []
-        for (anchor, run, n, _, _), starts in zip(held, found, strict=True):
+        owners = [None if x[2] > 1 else x[3] for x in laid] if across else None
+        found = repeated_starts([x[5] for x in laid], length, owners) if laid else []
+        for (anchor, run, n, _, shift, _), starts in zip(laid, found, strict=True):
             if n == 1:
-                rows += [(anchor, run, int(a), int(e)) for a, e in zip(*_ranges(starts), strict=True)]
+                rows += [(anchor, run, int(a) + shift, int(e) + shift) for a, e in zip(*_ranges(starts), strict=True)]
         if rows:
             a = np.array(rows, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2].astype(np.int32)), pa.array(a[:, 3].astype(np.int32))], ["anchor", "run", "a", "b"])
 
-    few = pieces.where(F.col("kinds") <= most).select("anchor", "run", "n", "uid", "data").repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(sort, "anchor long, run long, a int, b int")
+    few = pieces.where(F.col("kinds") <= most).select("anchor", "run", "n", "off", "data", "uid").repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(sort, "anchor long, run long, a int, b int")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
