@@ -78,14 +78,26 @@ class Model:
 
 
 def screen(bags: list[list[str]], labels: list[int], most: int = 2000, min_docs: int = 3) -> list[str]:
-    """Features that speak for label 1 by documents: log odds times the root of their count, the `most` highest."""
+    """Features that speak for label 1 by documents: log odds times the root of their count, the `most` highest.
+
+    Documents of label 1 stand first.
+    """
     pos: dict[str, int] = {}
     neg: dict[str, int] = {}
-    for bag, y in zip(bags, labels, strict=True):
-        into = pos if y else neg
-        for f in {f for w in {w for s in bag for w in s.split()} for f in features(w)}:
-            if y or f in pos:
-                into[f] = into.get(f, 0) + 1
+    first = labels.index(0) if 0 in labels else len(labels)
+    for bag in bags[:first]:
+        for f in {f for w in set(" ".join(bag).split()) for f in features(w)}:
+            pos[f] = pos.get(f, 0) + 1
+    known: dict[str, list[str]] = {}  # the features of a word that label 1 has at all
+    for bag in bags[first:]:
+        seen: set[str] = set()
+        for w in set(" ".join(bag).split()):
+            own = known.get(w)
+            if own is None:
+                own = known[w] = [f for f in features(w) if pos.get(f, 0) >= min_docs]
+            seen.update(own)
+        for f in seen:
+            neg[f] = neg.get(f, 0) + 1
     n1 = sum(labels)
     n0 = len(labels) - n1
     scored = []
@@ -108,10 +120,19 @@ def fit(bags: list[list[str]], labels: list[int], rounds: int = 200, rate: float
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
         return Model(float(np.log(p / (1 - p))), {})
     vocab = {f: k for k, f in enumerate(screen(bags, y.astype(int).tolist(), most))}
-    own, s_of, d_of, n_s = [], [], [], 0
+    own, s_of, d_of, n_s, plain = [], [], [], 0, np.zeros(len(y))
+    ids: dict[str, list[int]] = {}
     for k, bag in enumerate(bags):
-        for s in bag:  # sentences without a known feature still count for the bias
-            found = {vocab[f] for w in set(s.split()) for f in features(w) if f in vocab}
+        for s in bag:
+            found: set[int] = set()
+            for w in set(s.split()):
+                mine = ids.get(w)
+                if mine is None:
+                    mine = ids[w] = [vocab[f] for f in features(w) if f in vocab]
+                found.update(mine)
+            if not found:  # its score is that of the bias, so a count is enough
+                plain[k] += 1
+                continue
             own += found
             s_of += [n_s] * len(found)
             d_of.append(k)
@@ -122,10 +143,11 @@ def fit(bags: list[list[str]], labels: list[int], rounds: int = 200, rate: float
     for step in range(1, rounds + 1):
         z = bias + np.bincount(s_of, theta[own], n_s)
         p = 1 / (1 + np.exp(-z))
-        quiet = np.bincount(d_of, np.logaddexp(0, z), len(y))  # -log of the chance that no sentence offends
+        quiet = np.bincount(d_of, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, bias)  # -log of the chance that no sentence offends
         doc = np.maximum(-np.expm1(-quiet), 1e-9)
-        grad_z = p * ((doc - y) / doc)[d_of] / len(y)
-        g = np.append(np.bincount(own, grad_z[s_of], len(vocab)), grad_z.sum())
+        pull = (doc - y) / doc / len(y)
+        grad_z = p * pull[d_of]
+        g = np.append(np.bincount(own, grad_z[s_of], len(vocab)), grad_z.sum() + (plain * pull).sum() / (1 + np.exp(-bias)))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
         theta -= move[:-1]
