@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,20 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR).rstrip("/")
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back; the files go when the session ends."""
+def stage(spark: SparkSession, df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back; the files go when the session ends.
+
+    tidy: let go of what led here, so that its shuffle files are deleted now and
+    not when the driver next happens to collect garbage.
+    """
     path = f"{shared_dir(spark)}/tidegraph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(sc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    if tidy:
+        del df
+        gc.collect()
+        jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
