@@ -249,11 +249,13 @@ def test_resharding_flow_is_least():
 
 
 def test_resharding_writes_changed_shards(spark, tmp_path):
-    d = docs(spark, [f"text {k}" * (k % 7) for k in range(40)])
-    placed = resharding.reshard(d)
-    resharding.rewrite(d.select("doc_id", "text"), placed, str(tmp_path / "out"))
+    d = docs(spark, [f"text {k}" * (k % 7) for k in range(40)] + ["twice"] * 2, [*range(39), None, 7, 7])
+    changed = resharding.rewrite(d, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 40 and {(r["doc_id"], r["shard"]) for r in back.collect()} == {(r["doc_id"], r["shard"]) for r in placed.collect()}
+    want = [(r["doc_id"], r["shard"]) for r in resharding.reshard(d).collect() if r["shard"] in changed]
+    assert sorted(map(str, ((r["doc_id"], r["shard"]) for r in back.collect()))) == sorted(map(str, want)) and back.columns == [*d.columns, "shard"]
+    settled = resharding.rewrite(d.limit(0), str(tmp_path / "none"))
+    assert settled == []
 
 
 # 6 ---------------------------------------------------------------------------

@@ -100,21 +100,12 @@ def old_layout(d: DataFrame, shards: int = SHARDS) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(shards)).cast("int")
 
 
-def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS, split_share: float = 0.02, buckets: int = 512) -> DataFrame:
-    """(doc_id, text, source) -> (doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard).
-
-    size: UTF-8 bytes of the text (null: none) plus 1.  Null doc_ids and repeated
-    rows are rows like others: each gets a slot of its own.  An empty table gives
-    no rows.  Slots are gapless from 0 in each shard.  Extra columns of docs are
-    not used.
-    """
+def _placed(docs: DataFrame, old_shard: Column | None, shards: int, split_share: float, buckets: int, keep: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs with `keep`, size, h, old_shard and unit; and the units' new shards (u_old, u, shard)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(
-        F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
-        F.xxhash64(text).alias("h"), (old_shard if old_shard is not None else old_layout(docs, shards)).alias("old_shard"),
-    )
-    groups = d.groupBy("old_shard", "h", "size").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    # at most `shards` rows come to the driver, the sizes of the old shards; the widest group only needs the total
+    d = docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("h"), (old_shard if old_shard is not None else old_layout(docs, shards)).alias("old_shard"), *keep)
+    groups = d.groupBy("old_shard", "h", "size").agg(F.sum("size").alias("bytes"))
+    # at most `shards` rows come to the driver, the sizes of the old shards
     old = {r["old_shard"]: int(r["bytes"]) for r in groups.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).collect()}
     share = max(1, int(sum(old.values()) * split_share / shards))
     wide = groups.where(F.col("bytes") > share).select(F.col("old_shard").alias("g_old"), F.col("h").alias("g_h"), F.col("size").alias("g_size"), F.ceil(F.col("bytes") / share).cast("int").alias("cuts"))
@@ -126,18 +117,39 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHAR
     units = _prefixed(units, "old_shard", ["place", "unit"], F.col("bytes"), "start", buckets)
     middle = F.col("start") + F.floor(F.col("bytes") / 2)
     to = F.lit(None).cast("int")
-    for i, lo, hi, k in plan(old, shards):  # at most 2 * shards - 1 cuts and more only by ties
+    for i, lo, hi, k in plan(old, shards):  # a cut for each pair of shards with a flow
         to = F.when((F.col("old_shard") == i) & (middle >= lo) & (middle < hi), F.lit(k)).otherwise(to)
-    moves = units.select(F.col("old_shard").alias("u_old"), F.col("unit").alias("u"), to.cast("int").alias("shard"))
+    return d, units.select(F.col("old_shard").alias("u_old"), F.col("unit").alias("u"), to.cast("int").alias("shard"))
+
+
+def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS, split_share: float = 0.02, buckets: int = 512) -> DataFrame:
+    """(doc_id, text, source) -> (doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard).
+
+    size: UTF-8 bytes of the text (null: none) plus 1.  Null doc_ids and repeated
+    rows are rows like others: each gets a slot of its own.  An empty table gives
+    no rows.  Slots are gapless from 0 in each shard.  Extra columns of docs are
+    not used.
+    """
+    crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("text_crc32")
+    d, moves = _placed(docs, old_shard, shards, split_share, buckets, [crc])
     d = d.join(moves, (F.col("old_shard") == F.col("u_old")) & (F.col("unit") == F.col("u"))).drop("u_old", "u")
     d = d.withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 32)))
     d = _prefixed(d, "shard", ["place", "doc_id", "h", "size"], F.lit(1), "slot", buckets)
     return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the documents of shards that change to path/shard=k; shards whose rows all stay are left alone."""
-    same = placed.groupBy("shard").agg(F.max((F.col("shard") != F.col("old_shard")).cast("int")).alias("gains"))
-    lost = placed.where("shard <> old_shard").select(F.col("old_shard").alias("shard")).distinct().withColumn("loses", F.lit(1))
-    changed = same.join(lost, "shard", "left").where("gains = 1 or loses = 1").select("shard")
-    docs.join(placed.join(changed, "shard", "left_semi").select("doc_id", "shard", "slot"), "doc_id").repartition("shard", F.floor(F.col("slot") / 100000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def rewrite(docs: DataFrame, path: str, old_shard: Column | None = None, shards: int = SHARDS, split_share: float = 0.02, buckets: int = 512, rows_a_file: int = 1_000_000) -> list[int]:
+    """Write the rows of shards that change to path/shard=k, as reshard() places them; returns these shards.
+
+    Shards whose rows all stay are left alone.  Every row is written once, null
+    and repeated doc_ids included, with the columns it had.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    d, moves = _placed(docs, old_shard, shards, split_share, buckets, [row])
+    went = moves.where("shard <> u_old").select("shard", "u_old").distinct().collect()  # at most a row for each pair of shards
+    changed = sorted({k for r in went for k in r})
+    rows = d.join(moves.where(F.col("shard").isin(changed)), (F.col("old_shard") == F.col("u_old")) & (F.col("unit") == F.col("u")))
+    out = rows.select("shard", "_row.*") if "shard" not in docs.columns else rows.select("shard", F.col("_row").dropFields("shard").alias("_row")).select("shard", "_row.*")
+    parts = max(1, -(-docs.count() // rows_a_file // shards))
+    out.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).repartition("shard", "_part").drop("_part").write.mode("overwrite").partitionBy("shard").parquet(path)
+    return changed
