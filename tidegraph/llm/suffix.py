@@ -270,7 +270,7 @@ def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000,
                 h, runs, first, last, off = (np.concatenate(p) for p in parts)
                 yield pa.RecordBatch.from_arrays([pa.array(uids, pa.binary()), pa.array(h), pa.array(runs), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(off.astype(np.int16))], ["uid", "anchor", "run", "lo", "hi", "off"])
 
-    runs = stage(spark, texts.select("uid", "scope", "data").mapInArrow(cut, _RUNS), "runs")
+    runs = stage(spark, texts.select("uid", "scope", "data").mapInArrow(cut, _RUNS), "runs", tidy=True)
     seen = runs.groupBy("anchor").count().where("count > 1").select("anchor")
     # a bitmap of 2**20 words of fixed size, whatever the input, keeps most lone anchors out of the shuffles
     words = seen.select(F.shiftright(F.col("anchor").bitwiseAND((1 << 26) - 1), 6).alias("w"), F.expr("shiftleft(1L, cast(anchor & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -284,11 +284,11 @@ def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000,
             a = b.column(1).to_numpy(zero_copy_only=False)
             yield b.filter(pa.array((bits[(a & ((1 << 26) - 1)) >> 6] >> (a & 63)) & 1 == 1))
 
-    kept = stage(spark, runs.mapInArrow(keep, _RUNS), "kept")
+    kept = stage(spark, runs.mapInArrow(keep, _RUNS), "kept", tidy=True)
     places = kept.dropDuplicates(["anchor", "run", "uid"]) if across else kept
     kinds = places.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "hi", "off")).alias("at"))
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
-    kinds = stage(spark, kinds.join(anchors, "anchor"), "kinds")
+    kinds = stage(spark, kinds.join(anchors, "anchor"), "kinds", tidy=True)
     # a whole run that stands twice repeats in all its windows
     whole = kinds.where("n > 1").select("anchor", "run", F.lit(0).alias("a"), (F.col("at.hi") - F.col("at.lo")).alias("b"))
     mixed = kinds.where("kinds > 1").select("anchor", "run", "n", "kinds", F.col("at.uid").alias("uid"), F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), F.col("at.off").alias("off"))
@@ -304,7 +304,7 @@ def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000,
                 yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in want], t) for c, t in (("anchor", pa.int64()), ("run", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("off", pa.int16()))] + [pa.array([uid] * len(want), pa.binary()), pa.array([data[w["lo"] : w["hi"] + length] for w in want], pa.binary())], ["anchor", "run", "n", "kinds", "off", "uid", "data"])
 
     one = texts.select("uid", "data").join(wanted, "uid").select("uid", "data", "want")
-    pieces = stage(spark, one.mapInArrow(take, "anchor long, run long, n long, kinds long, off short, uid binary, data binary"), "pieces")
+    pieces = stage(spark, one.mapInArrow(take, "anchor long, run long, n long, kinds long, off short, uid binary, data binary"), "pieces", tidy=True)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, int, bytes, bytes]] = []  # an anchor's runs
@@ -347,7 +347,7 @@ def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000,
     twice = (F.min("uid") != F.max("uid")) | (F.max("n") > 1) if across else F.sum("n") > 1
     often = hot.groupBy("anchor", "h").agg(twice.alias("twice")).where("twice").select("anchor", "h")
     many = hot.where("n = 1").join(often, ["anchor", "h"], "left_semi").select("anchor", "run", "a", F.col("a").alias("b"))
-    marks = whole.union(few).union(many)
+    marks = stage(spark, whole.union(few).union(many), "marks", tidy=True)
     return kept.join(marks, ["anchor", "run"]).select("uid", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
 
 
