@@ -35,6 +35,7 @@ def test_near_copies_go_and_others_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, SF).collect() if r["doc_id"] is not None)
     assert [i for i in kept if i < 1000] == list(range(60))
+    assert corpus_pipeline.near_copies(spark, docs, SF).where("doc_id is null").count() == 1
     assert 2000 not in kept and len([i for i in kept if 1000 <= i < 2000]) <= 1
 
 

@@ -16,7 +16,7 @@ are verified against the whole fingerprint and only a spanning forest leaves.
 
 Bits: lanes * 64.  With `recall` set (longer fingerprints, wide thresholds, where
 the exact principle would compare nearly all pairs), the dynamic programme asks
-for that probability of meeting at `max_distance` instead of certainty.
+for that probability of meeting at a distance of `recall_at` instead of certainty.
 """
 
 from __future__ import annotations
@@ -228,14 +228,18 @@ def _forest(key: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndar
     """Rows sorted by key -> (row, root) for rows linked to another of their key; a row is linked to the first of its kind there."""
     n = len(key)
     parent = np.arange(n)
+    lanes = [np.ascontiguousarray(prints[:, k]) for k in range(prints.shape[1])]
     at, d = np.arange(n), 1
     while True:
         at = at[at + d < n]
         at = at[key[at] == key[at + d]]
         if not len(at):
             break
-        far = np.bitwise_count(prints[at] ^ prints[at + d]).sum(axis=1, dtype=np.int64)
-        a = at[far <= distance]
+        a, far = at, np.zeros(len(at), np.int16)
+        for lane in lanes:  # a pair goes as soon as its bits so far differ too much
+            far = far + np.bitwise_count(lane[a] ^ lane[a + d])
+            near = far <= distance
+            a, far = a[near], far[near]
         if len(a):
             b = a + d
             fresh = parent[a] != parent[b]
@@ -284,7 +288,7 @@ def _links(buckets: DataFrame, lanes: int, distance: int) -> DataFrame:
     return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u string, v string")
 
 
-def links(nodes: DataFrame, lanes: int = 1, max_distance: int = 3, width: int = 16, recall: float | None = None, bucket_limit: int = 2000, depth: int = 3) -> DataFrame:
+def links(nodes: DataFrame, lanes: int = 1, max_distance: int = 3, width: int = 16, recall: float | None = None, recall_at: int | None = None, bucket_limit: int = 2000, depth: int = 3) -> DataFrame:
     """Distinct fingerprints (f0..) -> links (u, v) in hex whose connected sets are those of all links within max_distance."""
     spark = nodes.sparkSession
     groups = bit_groups(nodes, lanes, width)
@@ -294,13 +298,13 @@ def links(nodes: DataFrame, lanes: int = 1, max_distance: int = 3, width: int =
         gain = np.tile(np.arange(most + 2), (len(groups), 1))
         need = max_distance + 1
     else:
-        p = max_distance / (64 * lanes)
+        p = (recall_at or max_distance) / (64 * lanes)
         gain = np.zeros(cost.shape)
         for i, g in enumerate(groups):
             for t in range(most + 1):
                 hit = sum(math.comb(len(g), e) * p**e * (1 - p) ** (len(g) - e) for e in range(t + 1))
-                gain[i, t + 1] = -math.log1p(-min(hit, 0.999999)) * 200
-        need = min(math.ceil(-math.log(1 - recall) * 200), int(sum(np.floor(gain[:, -1]))))
+                gain[i, t + 1] = -math.log1p(-min(hit, 0.999999)) * 2000
+        need = min(math.ceil(-math.log(1 - recall) * 2000), int(sum(np.floor(gain[:, -1]))))
     thresholds = allocate(cost, gain, need)
     rows = _spread(nodes.select(*(f"f{k}" for k in range(lanes))), lanes, list(zip(groups, thresholds, strict=True)), 0)
     found = None
@@ -338,7 +342,9 @@ def components(docs: DataFrame, words: int = 3, lanes: int = 1, max_distance: in
     hexed = F.concat(*(F.lpad(F.lower(F.hex(F.col(n))), 16, "0") for n in names))
     found = connected_components(links(nodes, lanes, max_distance, **search)).select(F.col("vertex").alias("fingerprint"), F.col("component").alias("root"))
     joined = nodes.withColumn("fingerprint", hexed).join(found, "fingerprint", "left")
+    # fingerprints without links stay out of the joins by root
+    alone = joined.where("root is null").select("fingerprint", "class_size", F.col("low").alias("component_id"))
     in_sets = joined.where("root is not null")
-    lows = in_sets.groupBy("root").agg(F.min("low").alias("component_low"))
-    named = joined.join(lows, "root", "left").select("fingerprint", "class_size", F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component_low")).alias("component_id"))
+    lows = in_sets.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = alone.unionByName(in_sets.join(lows, "root").select("fingerprint", "class_size", "component_id"))
     return prints.select("doc_id", hexed.alias("fingerprint")).join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "class_size")
