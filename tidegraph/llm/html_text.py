@@ -160,21 +160,30 @@ def extract(pages: DataFrame, repeat_bytes: int = 48) -> DataFrame:
     spark = pages.sparkSession
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What hosts are judged by: the open blocks of pages without a main zone, and all pages' noise."""
         for b in batches:
-            ids, urls, texts, hosts, opens, noises = b.column(0), b.column(1), [], [], [], []
-            for url, page in zip(urls.to_pylist(), b.column(2).to_pylist(), strict=True):
+            hosts, opens, noises = [], [], []
+            for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 found = blocks(page or "")
-                main = [t for z, t in found if z == "main"]
                 free = [t for z, t in found if z == "open"]
-                decided = bool(main) or not free
-                texts.append(_SEP.join(main) if decided else None)
-                opens.append(None if decided else free)
+                opens.append(None if not free or any(z == "main" for z, _ in found) else free)
                 noises.append("\n".join(t for z, t in found if z == "noise"))
                 hosts.append(host_of(url))
-            yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array(hosts, pa.string()), pa.array(opens, pa.list_(pa.string())), pa.array(noises, pa.string())], ["page_id", "url", "text", "host", "open", "noise"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(opens, pa.list_(pa.string())), pa.array(noises, pa.string())], ["page_id", "url", "host", "open", "noise"])
+
+    def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages that their markup decides; their texts are neither kept nor dealt out on the way."""
+        for b in batches:
+            texts = []
+            for page in b.column(2).to_pylist():
+                found = blocks(page or "")
+                main = [t for z, t in found if z == "main"]
+                texts.append(_SEP.join(main) if main or not any(z == "open" for z, _ in found) else None)
+            text = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text], ["page_id", "url", "text"]).filter(text.is_valid())
 
     raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = stage(spark, raw.mapInArrow(read, "page_id long, url string, text string, host string, open array<string>, noise string"), "pages")
+    rows = stage(spark, raw.mapInArrow(read, "page_id long, url string, host string, open array<string>, noise string"), "pages", tidy=True)
     rows = rows.withColumn("stream", F.encode(F.concat_ws("\n", F.array_join("open", "\n"), "noise"), "UTF-8")).withColumn("uid", F.unhex(F.md5(F.concat_ws("\n", "host", "stream"))))
     found = repeats(rows.select("uid", F.col("host").alias("scope"), F.col("stream").alias("data")), repeat_bytes, k=repeat_bytes // 3, across=True)
     spans = found.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
@@ -186,8 +195,8 @@ def extract(pages: DataFrame, repeat_bytes: int = 48) -> DataFrame:
                 texts.append(_SEP.join(unique_runs(free, [(s["lo"], s["hi"]) for s in at or []], repeat_bytes)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    asked = rows.where(F.col("text").isNull()).join(spans, "uid", "left").select("page_id", "url", "open", "spans").mapInArrow(decide, "page_id long, url string, text string")
-    by_markup = rows.where(F.col("text").isNotNull()).select("page_id", "url", "text", F.lit("markup").alias("decided"))
+    asked = rows.where(F.col("open").isNotNull()).join(spans, "uid", "left").select("page_id", "url", "open", "spans").mapInArrow(decide, "page_id long, url string, text string")
+    by_markup = raw.mapInArrow(main_text, "page_id long, url string, text string").select("page_id", "url", "text", F.lit("markup").alias("decided"))
     both = by_markup.union(asked.select("page_id", "url", "text", F.lit("host")))
     return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "decided")
 
