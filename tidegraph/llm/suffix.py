@@ -24,7 +24,6 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,65 +44,86 @@ def suffix_array(s: bytes | list[int]) -> list[int]:
     for i, c in enumerate(s):
         heads.setdefault(c, []).append(i)
     members = [heads[c] for c in sorted(heads)]
+    sizes = [len(m) for m in members]
     group = [0] * n
     for g, m in enumerate(members):
         for i in m:
             group[i] = g
     # groups by rank: a list linked both ways, so that one can be put right above another
     below, above = list(range(-1, len(members) - 1)), [*range(1, len(members)), -1]
-    unset = -2
-    prev = [unset] * n
+    prev: list[int | None] = [None] * (n + 1)  # the last stands for place -1
     order: list[int] = []
     g = len(members) - 1
     while g >= 0:
-        own = members[g] = [i for i in members[g] if group[i] == g]
+        own = members[g]
+        if len(own) != sizes[g]:  # some have moved on
+            own = members[g] = [i for i in own if group[i] == g]
         order.append(g)
-        met = []
-        for i in own:
+        if len(own) == 1:
+            i = own[0]
             j = i - 1
-            # all that rank as high or higher, and only they, have a pointer by now
-            while j >= 0 and (p := prev[j]) != unset:
+            p = prev[j]
+            while p is not None:
                 j = p
+                p = prev[j]
             prev[i] = j
-            if j >= 0:
-                met.append(j)
-        times: dict[int, list[int]] = {}
-        if len(met) == 1:
-            times[1] = met
+            parts = [(group[j], own_j)] if j >= 0 and sizes[group[j]] > 1 and (own_j := [j]) else ()
         else:
-            for j, same in groupby(met):  # pointers of ascending members ascend
-                times.setdefault(len(list(same)), []).append(j)
-        for t in sorted(times, reverse=True):
-            new: dict[int, int] = {}
-            for j in times[t]:
-                old = group[j]
-                k = new.get(old)
-                if k is None:
-                    k = new[old] = len(members)
-                    members.append([])
-                    top = above[old]
-                    below.append(old)
-                    above.append(top)
-                    above[old] = k
-                    if top >= 0:
-                        below[top] = k
-                members[k].append(j)
+            met = []
+            for i in own:
+                j = i - 1
+                # all that rank as high or higher, and only they, have a pointer by now
+                p = prev[j]
+                while p is not None:
+                    j = p
+                    p = prev[j]
+                prev[i] = j
+                if j >= 0:
+                    met.append(j)
+            times: dict[int, dict[int, list[int]]] = {}
+            last, count = -1, 0
+            for j in met:  # pointers of ascending members ascend
+                if j == last:
+                    count += 1
+                    continue
+                if count:
+                    times.setdefault(count, {}).setdefault(group[last], []).append(last)
+                last, count = j, 1
+            if count:
+                times.setdefault(count, {}).setdefault(group[last], []).append(last)
+            parts = [x for t in sorted(times, reverse=True) for x in times[t].items()] if len(times) > 1 else [*times[count].items()] if times else ()
+        for old, moved in parts:
+            if len(moved) == sizes[old]:  # a group that moves whole stays where it is
+                continue
+            k = len(members)
+            members.append(moved)
+            sizes.append(len(moved))
+            sizes[old] -= len(moved)
+            top = above[old]
+            below.append(old)
+            above.append(top)
+            above[old] = k
+            if top >= 0:
+                below[top] = k
+            for j in moved:
                 group[j] = k
         g = below[g]
     # emission: a suffix is placed when the suffix after its Lyndon prefix is
     at, free = 0, [0] * len(members)
     for g in reversed(order):
         free[g] = at
-        at += len(members[g])
+        at += sizes[g]
     out = [-1] * n
     placed = bytearray(n + 1)
+    placed[n] = 1  # place -1
     for k in range(-1, n):
         i = (out[k] if k >= 0 else n) - 1
-        while i >= 0 and not placed[i]:
+        while not placed[i]:
             placed[i] = 1
             g = group[i]
-            out[free[g]] = i
-            free[g] += 1
+            f = free[g]
+            out[f] = i
+            free[g] = f + 1
             i = prev[i]
     return out
 
@@ -170,35 +190,33 @@ def repeated_starts(texts: list[bytes], length: int, owners: list | None = None)
     an owner of None differs from all.
     """
     joined = b"\xff".join(texts)
-    sa = suffix_array(joined)
-    hit = bytearray(len(joined))
     ends = np.cumsum([len(t) + 1 for t in texts])
-    last, same = b"", []
-
-    def close() -> None:
-        if len(same) > 1:
-            if owners is not None:
-                whose = [owners[k] for k in np.searchsorted(ends, same, side="right")]
-                if None not in whose and len(set(whose)) == 1:
-                    return
-            for i in same:
-                hit[i] = 1
-
-    for i in sa:
+    whole = np.zeros(len(joined) + 1, bool)  # strings that end in their own text
+    for t, end in zip(texts, ends.tolist(), strict=True):
+        if len(t) >= length:
+            whole[end - len(t) - 1 : end - length] = True
+    sa = np.array(suffix_array(joined), np.int64)
+    hit = np.zeros(len(joined) + 1, bool)
+    last, last_at, same = b"", -1, None
+    found: list[list[int]] = []
+    # what lies between two equal strings in the array begins with the same bytes, so others can be passed over
+    for i in sa[whole[sa]].tolist() if len(sa) else []:
         piece = joined[i : i + length]
-        if piece == last:
-            same.append(i)
+        if piece != last:
+            last, same = piece, None
+        elif same is None:
+            same = [last_at, i]
+            found.append(same)
         else:
-            close()
-            last, same = piece, [i]
-    close()
-    out, at = [], 0
-    for t in texts:
-        own = np.frombuffer(hit, np.uint8, len(t), at) if t else np.empty(0, np.uint8)
-        starts = np.flatnonzero(own)
-        out.append(starts[starts + length <= len(t)])
-        at += len(t) + 1
-    return out
+            same.append(i)
+        last_at = i
+    for same in found:
+        if owners is not None:
+            whose = [owners[k] for k in np.searchsorted(ends, same, side="right")]
+            if None not in whose and len(set(whose)) == 1:
+                continue
+        hit[same] = True
+    return [np.flatnonzero(hit[end - len(t) - 1 : end - 1]) for t, end in zip(texts, ends.tolist(), strict=True)]
 
 
 def shared_parts(runs: list[tuple[int, int, int, int, bytes, bytes]], length: int, step: int = 8) -> list[tuple]:
