@@ -88,12 +88,14 @@ def screen(bags: list[list[str]], labels: list[int], most: int = 2000, min_docs:
     for bag in bags[:first]:
         for f in {f for w in set(" ".join(bag).split()) for f in features(w)}:
             pos[f] = pos.get(f, 0) + 1
-    known: dict[str, list[str]] = {}  # the features of a word that label 1 has at all
+    known: dict[str, list[str]] = {}  # the features of a word that label 1 has at all; begun anew when it is large
     for bag in bags[first:]:
         seen: set[str] = set()
         for w in set(" ".join(bag).split()):
             own = known.get(w)
             if own is None:
+                if len(known) >= 200_000:
+                    known.clear()
                 own = known[w] = [f for f in features(w) if pos.get(f, 0) >= min_docs]
             seen.update(own)
         for f in seen:
@@ -122,10 +124,13 @@ def fit(bags: list[list[str]], labels: list[int], rounds: int = 200, rate: float
     vocab = {f: k for k, f in enumerate(screen(bags, y.astype(int).tolist(), most))}
     own, s_of, d_of, n_s, plain = [], [], [], 0, np.zeros(len(y))
     ids: dict[str, list[int]] = {}
+    heads = frozenset(f.rstrip("$")[:3] for f in vocab)
     for k, bag in enumerate(bags):
         for s in bag:
             found: set[int] = set()
             for w in set(s.split()):
+                if w[:3] not in heads:
+                    continue
                 mine = ids.get(w)
                 if mine is None:
                     mine = ids[w] = [vocab[f] for f in features(w) if f in vocab]
