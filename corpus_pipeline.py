@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegraph.llm import mixing, packing, queries, simhash, suffix, toxicity
+from tidegraph.llm import jaccard, mixing, packing, queries, suffix, toxicity
 from tidegraph.storage import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near copies: five-word shingles, fingerprints of 256 bits.  A Jaccard similarity of 0.8 is an angle of 27.3 degrees, 39 bits give or take 6.
-WORDS, LANES, BITS, RECALL, RECALL_AT = 5, 4, 46, 0.955, 39
+#: Near copies: sets of five-word shingles of Jaccard similarity 4/5 or more.
+WORDS, SIMILARITY = 5, (4, 5)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,16 +20,20 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the least doc_id (of equal ids one row by its text's hash).
+    """One row of each group of near copies stays, that of the least doc_id (of equal ids by its text's hash).
 
-    A row without a doc_id goes by a hash of its text, after all others.
+    Rows with equal doc_ids are judged by their texts: both stay where these are
+    in different groups.  A row without a doc_id goes by a hash of its text, after all others.
     """
-    rows = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))).alias("_id"))
-    found = simhash.components(rows.select(F.col("_id").alias("doc_id"), "text"), words=WORDS, lanes=LANES, max_distance=BITS, width=12, recall=RECALL, recall_at=RECALL_AT)
-    # what isn't its component's least id goes; of rows with equal ids one stays
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    one = W.partitionBy("_id").orderBy(F.xxhash64("text"), "source", "lang")
-    return rows.join(keep, "_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*COLUMNS)
+    rows = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))).alias("_id"), *jaccard.text_keys(F.col("text")))
+    found = jaccard.components(rows.select("t0", "t1", "text"), WORDS, *SIMILARITY)
+    # a group keeps the text that holds its least id, and of this text's rows the one of that id
+    lows = rows.groupBy("t0", "t1").agg(F.min("_id").alias("_id")).withColumn("vertex", jaccard.hexed("t0", "t1"))
+    group = F.coalesce("component", "vertex")
+    keep = lows.join(found, "vertex", "left").groupBy(group.alias("_group")).agg(F.min(F.struct("_id", "t0", "t1")).alias("_least")).select("_least.*")
+    row = F.struct("text", "source", "lang", "n_chars", "doc_id")
+    best = rows.join(keep, ["_id", "t0", "t1"], "left_semi").groupBy("_id", "t0", "t1").agg(F.min(row).alias("_row"))
+    return best.select("_row.*").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from tidegraph.llm import queries
+from tidegraph.llm import jaccard, queries
+from tidegraph.llm.simhash import shingle_hashes
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,60 @@ def test_near_copies_go_and_others_stay(spark):
 def test_quality_weights(spark):
     w = queries.quality_weights(spark, SF)
     assert w.count() == w.select("doc_id").distinct().count()
+
+
+def similarity(a, b):
+    a, b = set(shingle_hashes(a, 5).tolist()), set(shingle_hashes(b, 5).tolist())
+    return len(a & b) / len(a | b)
+
+
+def partner(words, share):
+    """Words whose five-word shingles come as close to this similarity as swapping single words of the end gets."""
+    common = round(2 * share / (1 + share) * (len(words) - 4))
+    return words[: common + 4] + [f"x{k}y{words[k]}" for k in range(common + 4, len(words))]
+
+
+def test_near_copies_at_similarities(spark):
+    rng = random.Random(8)
+    base = [[f"w{k}z{rng.randrange(10**6)}" for _ in range(rng.choice([34, 94, 184, 304]))] for k in range(240)]
+    texts = [" ".join(w) for w in base]
+    for k, w in enumerate(base):
+        texts.append(" ".join(partner(w, [0.70, 0.75, 0.80, 0.85][k % 4])))
+    got = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()}
+    for k in range(240):
+        assert k in got
+        assert (240 + k in got) == (similarity(texts[k], texts[240 + k]) < 0.8), k
+
+
+def test_near_copies_with_hot_shingles(spark):
+    """A line that all texts hold, chains and a large group, against all pairs."""
+    rng = random.Random(3)
+    line = [f"line{k}" for k in range(14)]
+    texts = [" ".join([rng.choice("abcdef") + str(rng.randrange(40)) for _ in range(rng.randrange(0, 9))] + line[: rng.randrange(9, 15)]) for _ in range(150)]
+    chain = [f"c{k}" for k in range(60)]
+    for _ in range(40):
+        chain = list(chain)
+        chain[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(chain))
+    texts += [None, "", " ", "one", "One", "one two"]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = (" ".join((texts[k] or "").split()) for k in (i, j))
+            if a == b or a and b and similarity(a, b) >= 0.8:
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, SF).collect())
+    assert got == sorted({top(i) for i in range(len(texts))})
+    found = jaccard.components(df.select(*jaccard.text_keys(df.text), "text"), hot_limit=20).collect()
+    groups: dict = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(top(i), set()).add(t if (t or "").strip() else None)
+    assert len({r["component"] for r in found}) == sum(len(g) > 1 for g in groups.values())

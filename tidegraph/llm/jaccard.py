@@ -1,0 +1,248 @@
+"""Texts whose word shingles have at least a given Jaccard similarity: an exact join.
+
+Prefix filter: the shingles of all texts have one order; two sets of similarity
+p/q share an element among the first n - ceil(n p / q) + 1 of each.  So texts
+meet in the buckets of these elements, and no pair is missed.  The order is by
+hash, after it come shingles that many texts hold (it affects costs only).
+
+Candidates are verified by their whole shingle sets, after a bound that loses
+nothing: the parities of a hash table's cells differ in no more cells than the
+sets have elements of their own.  First each text of a
+bucket meets the bucket's centre; then, in buckets whose texts these links don't
+connect, all pairs of different components that can still reach the similarity
+by size and place.  A group of near copies thus costs a star, not its square.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidegraph.llm.simhash import shingle_hashes
+from tidegraph.operators.components import connected_components
+from tidegraph.storage import stage
+
+#: Texts by ids of up to this many rows are picked with a broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def text_keys(text: Column) -> list[Column]:
+    """128 bits (t0, t1) of a text; null texts and texts without words are one text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    text = F.when(text.rlike(r"[^\x09-\x0d\x20]"), text).otherwise(F.lit(""))
+    return [F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(7), text).alias("t1")]
+
+
+def _prefix(own: np.ndarray, hot: np.ndarray, p: int, q: int) -> np.ndarray:
+    if len(hot) and len(own):
+        often = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+        own = np.concatenate([own[~often], own[often]])
+    return own[: len(own) - -(-len(own) * p // q) + 1] if len(own) else own
+
+
+def _hot(texts: DataFrame, words: int, p: int, q: int, limit: int) -> np.ndarray:
+    """Shingles that stand in many prefixes by hash order; such as are rare in each task may be left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def often() -> pa.RecordBatch:
+            v, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(v[n > 2].view(np.int64)), pa.array(n[n > 2])], ["h", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.append(_prefix(np.unique(shingle_hashes(t, words)), np.empty(0, np.uint64), p, q))
+                size += len(held[-1])
+                if size > 2_000_000:
+                    yield often()
+                    held, size = [], 0
+        yield often()
+
+    found = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    return np.sort(np.array([r["h"] for r in found.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _prefixes(texts: DataFrame, words: int, p: int, q: int, hot: np.ndarray) -> DataFrame:
+    """(h, n, t0, t1, pos): the prefix elements of each text of n shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                sets = [np.unique(shingle_hashes(t, words)) for t in b.column(2).to_pylist()]
+                heads = [_prefix(s, hot, p, q) for s in sets]
+                times = [len(x) for x in heads]
+                h = np.concatenate([np.empty(0, np.uint64), *heads]).view(np.int64)
+                n = np.repeat(np.array([len(s) for s in sets], np.int32), times)
+                t = [np.repeat(b.column(k).to_numpy(zero_copy_only=False), times) for k in (0, 1)]
+                pos = np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in times)])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(t[0]), pa.array(t[1]), pa.array(pos)], ["h", "n", "t0", "t1", "pos"])
+
+    return texts.select("t0", "t1", "text").mapInArrow(run, "h long, n int, t0 long, t1 long, pos int")
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by h (the first), cut only between buckets."""
+    kept: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        cols = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+        cut = np.searchsorted(cols[0], cols[0][-1])
+        if cut:
+            yield [c[:cut] for c in cols]
+        kept = [c[cut:] for c in cols]
+    if kept is not None:
+        yield kept
+
+
+def _starred(prefixes: DataFrame, p: int, q: int) -> DataFrame:
+    """Rows of buckets with two texts or more, each text once, with its centre (c0, c1) where size and place let the two reach p/q, or itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _by_bucket(batches):
+            h, n, t0, t1, _ = cols
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (t0[1:] != t0[:-1]) | (t1[1:] != t1[:-1])
+            cols = [c[fresh] for c in cols]
+            _, first, size = np.unique(cols[0], return_index=True, return_counts=True)
+            many = np.repeat(size > 1, size)
+            cols = [c[many] for c in cols]
+            n, centre, at = cols[1].astype(np.int64), np.arange(len(cols[0])), 0
+            for k in size[size > 1].tolist():
+                end = at + k
+                while at < end:
+                    upto = at + int(np.searchsorted(n[at:end] * p, n[at] * q, "right"))
+                    centre[at:upto] = at
+                    at = upto
+            most = np.minimum(n - cols[4], (n - cols[4])[centre])
+            centre = np.where(most * (p + q) >= (n + n[centre]) * p, centre, np.arange(len(n)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(cols[2][centre]), pa.array(cols[3][centre])], ["h", "n", "t0", "t1", "pos", "c0", "c1"])
+
+    dealt = prefixes.repartition("h").sortWithinPartitions("h", "n", "t0", "t1")
+    return dealt.mapInArrow(run, "h long, n int, t0 long, t1 long, pos int, c0 long, c1 long")
+
+
+def _crossing(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (c0, c1, t0, t1) of a bucket in different components `c` that size and place let reach p/q; those with their centre are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, n, t0, t1, pos, c0, c1, c in _by_bucket(batches):
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            at, d = np.arange(len(h)), 1
+            while True:
+                at = at[at + d < len(h)]
+                at = at[h[at] == h[at + d]]
+                at = at[n[at + d] * p <= n[at] * q]  # sorted by n
+                if not len(at):
+                    break
+                b = at + d
+                # what they have in common if this is their first common element
+                most = np.minimum(n[at] - pos[at], n[b] - pos[b])
+                ok = (c[at] != c[b]) & (most * (p + q) >= (n[at] + n[b]) * p)
+                ok &= ((t0[at] != c0[b]) | (t1[at] != c1[b])) & ((t0[b] != c0[at]) | (t1[b] != c1[at]))
+                if ok.any():
+                    x, y = at[ok], b[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (t0[x], t1[x], t0[y], t1[y])], ["c0", "c1", "t0", "t1"])
+                d += 1
+
+    return rows.repartition("h").sortWithinPartitions("h", "n", "t0", "t1").mapInArrow(run, "c0 long, c1 long, t0 long, t1 long")
+
+
+def _sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(t0, t1, n, bits): n shingles, and for each cell of a table of 2**k >= n whether an odd number of them lies there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, bits = [], []
+            for t in b.column(2).to_pylist():
+                own = np.unique(shingle_hashes(t, words))
+                cells = 1 << max(6, min(15, len(own).bit_length()))
+                odd = np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+                n.append(len(own))
+                bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(bits, pa.binary())], ["t0", "t1", "n", "bits"])
+
+    found = texts.select("t0", "t1", "text").mapInArrow(run, "t0 long, t1 long, n int, bits binary")
+    return found.groupBy("t0", "t1").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Cells whose parities differ, at most the elements that only one of the sets has."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, size), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs whose sketches don't rule out the similarity p/q."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(4).to_numpy(zero_copy_only=False).astype(np.int64) + b.column(5).to_numpy(zero_copy_only=False)
+            apart = np.array([_apart(x, y) for x, y in zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)], np.int64)
+            b = b.filter(pa.array(apart * (p + q) <= n * (q - p)))
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(4)], ["c0", "c1", "t0", "t1"])
+
+    other = sketches.select(F.col("t0").alias("c0"), F.col("t1").alias("c1"), F.col("n").alias("cn"), F.col("bits").alias("cbits"))
+    both = pairs.join(sketches, ["t0", "t1"]).join(other, ["c0", "c1"]).select("c0", "c1", "t0", "t1", "n", "cn", "bits", "cbits")
+    return both.mapInArrow(run, "c0 long, c1 long, t0 long, t1 long")
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """Pairs (c0, c1, t0, t1) -> (u, v) in hex, those of similarity p/q or more."""
+    spark = pairs.sparkSession
+    pairs = stage(spark, _possible(pairs.distinct(), sketches, p, q), "pairs", tidy=True)
+    ids = stage(spark, pairs.select("t0", "t1").union(pairs.select("c0", "c1")).distinct(), "asked")
+    few = ids.count() <= BROADCAST_ROWS
+    own = texts.join(F.broadcast(ids) if few else ids, ["t0", "t1"], "left_semi")
+    own = stage(spark, own.groupBy("t0", "t1").agg(F.first("text").alias("text")), "texts")
+    named = own.select(F.col("t0").alias("c0"), F.col("t1").alias("c1"), F.col("text").alias("other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.empty(0, np.uint64)
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(4), b.column(5), strict=True):
+                x = x.as_py()
+                if x != last:
+                    last, held = x, np.unique(shingle_hashes(x, words))
+                own = np.unique(shingle_hashes(y.as_py(), words))
+                both = len(np.intersect1d(held, own, assume_unique=True))
+                keep.append(both * q >= (len(held) + len(own) - both) * p)
+            b = b.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(4)], ["c0", "c1", "t0", "t1"])
+
+    both = pairs.join(own, ["t0", "t1"]).join(named, ["c0", "c1"]).select("c0", "c1", "t0", "t1", "other", "text")
+    good = both.mapInArrow(run, "c0 long, c1 long, t0 long, t1 long")
+    return good.select(hexed("c0", "c1").alias("u"), hexed("t0", "t1").alias("v"))
+
+
+def hexed(*names: str) -> Column:
+    return F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names))
+
+
+def components(texts: DataFrame, words: int = 5, p: int = 4, q: int = 5, hot_limit: int = 500) -> DataFrame:
+    """(t0, t1, text), copies and nulls included -> (vertex, component) of texts linked to others; vertex: t0 and t1 in hex.
+
+    Texts are linked where their sets of `words`-word shingles have a Jaccard
+    similarity of p/q or more; a text without words is linked to none.
+    """
+    spark = texts.sparkSession
+    hot = _hot(texts, words, p, q, hot_limit)
+    rows = stage(spark, _starred(_prefixes(texts, words, p, q, hot), p, q), "buckets", tidy=True)
+    sketches = stage(spark, _sketches(texts, words), "sketches", tidy=True)
+    links = stage(spark, _verified(rows.where("t0 <> c0 or t1 <> c1").select("c0", "c1", "t0", "t1"), sketches, texts, words, p, q), "links", tidy=True)
+    found = connected_components(links)
+    own = hexed("t0", "t1")
+    named = rows.withColumn("vertex", own).join(found, "vertex", "left").select("h", "n", "t0", "t1", "pos", "c0", "c1", F.xxhash64(F.coalesce("component", own)).alias("c"))
+    mixed = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+    more = stage(spark, _verified(_crossing(named.join(mixed, "h", "left_semi"), p, q), sketches, texts, words, p, q), "links", tidy=True)
+    return connected_components(links.union(more))
