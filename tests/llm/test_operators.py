@@ -258,6 +258,21 @@ def test_resharding_writes_changed_shards(spark, tmp_path):
     assert settled == []
 
 
+def test_resharding_keeps_copies_of_all_sources_together(spark):
+    rng = random.Random(6)
+    texts = [rng.randbytes(rng.randrange(20, 120)).hex() for _ in range(4000)]
+    table = [(k, t, f"s{rng.randrange(20)}") for k, t in enumerate(texts + [t for t in texts[:60] for _ in range(rng.randrange(1, 4))] + ["hot" * 300] * 80)]
+    got = rows(resharding.reshard(spark.createDataFrame(table, "doc_id long, text string, source string")))
+    shards, olds = {}, {}
+    for r in got:
+        shards.setdefault(table[r["doc_id"]][1], set()).add(r["shard"])
+        olds.setdefault(table[r["doc_id"]][1], set()).add(r["old_shard"])
+    assert sum(len(olds[t]) > 1 for t in texts[:60]) > 30
+    assert all(len(shards[t]) == 1 for t in texts)
+    sizes = [sum(r["size"] for r in got if r["shard"] == k) for k in range(8)]
+    assert max(sizes) - min(sizes) < 0.1 * sum(sizes) / 8 and len(shards["hot" * 300]) > 1
+
+
 # 6 ---------------------------------------------------------------------------
 
 

@@ -8,8 +8,10 @@ sums, so only the flow's bytes move, and only files of shards that gain or lose
 rows have to be rewritten.
 
 Law `bytes`: shard sizes are near equal.  The unit that moves is a group of
-equal texts, unless the group is larger than `split_share` of a shard; such
-groups are cut into units by a salt.  Sizes are thus equal to within a unit.
+equal texts of all old shards, unless the group is larger than `split_share` of
+a shard; such groups are cut into units by a salt.  A unit counts as a whole to
+the old shard with most of its bytes and gets one new shard, so the flow is over
+units' bytes.  Sizes are thus equal to within a unit.
 
 Rows never meet in one task: a shard's order is by a hash cut into even ranges,
 offsets of the ranges come from their sums.
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidegraph.storage import stage
+
 SHARDS = 8
 
 
@@ -101,25 +105,29 @@ def old_layout(d: DataFrame, shards: int = SHARDS) -> Column:
 
 
 def _placed(docs: DataFrame, old_shard: Column | None, shards: int, split_share: float, buckets: int, keep: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs with `keep`, size, h, old_shard and unit; and the units' new shards (u_old, u, shard)."""
+    """Rows of docs with `keep`, size, h, old_shard and unit; and the units' new shards (u, shard)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("h"), (old_shard if old_shard is not None else old_layout(docs, shards)).alias("old_shard"), *keep)
-    groups = d.groupBy("old_shard", "h", "size").agg(F.sum("size").alias("bytes"))
-    # at most `shards` rows come to the driver, the sizes of the old shards
-    old = {r["old_shard"]: int(r["bytes"]) for r in groups.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).collect()}
-    share = max(1, int(sum(old.values()) * split_share / shards))
-    wide = groups.where(F.col("bytes") > share).select(F.col("old_shard").alias("g_old"), F.col("h").alias("g_h"), F.col("size").alias("g_size"), F.ceil(F.col("bytes") / share).cast("int").alias("cuts"))
+    groups = d.groupBy("h", "size").agg(F.sum("size").alias("bytes"))
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    share = max(1, int(total * split_share / shards))
+    wide = groups.where(F.col("bytes") > share).select(F.col("h").alias("g_h"), F.col("size").alias("g_size"), F.ceil(F.col("bytes") / share).cast("int").alias("cuts"))
     # groups over a share number at most shards / split_share, 400, whatever the input
-    d = d.join(F.broadcast(wide), (F.col("old_shard") == F.col("g_old")) & (F.col("h") == F.col("g_h")) & (F.col("size") == F.col("g_size")), "left")
+    d = d.join(F.broadcast(wide), (F.col("h") == F.col("g_h")) & (F.col("size") == F.col("g_size")), "left")
     salt = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("cuts")))
-    d = d.withColumn("unit", F.xxhash64("h", "size", salt)).drop("g_old", "g_h", "g_size", "cuts")
-    units = d.groupBy("old_shard", "unit").agg(F.sum("size").alias("bytes")).withColumn("place", F.pmod(F.xxhash64("unit"), F.lit(1 << 32)))
-    units = _prefixed(units, "old_shard", ["place", "unit"], F.col("bytes"), "start", buckets)
+    d = d.withColumn("unit", F.xxhash64("h", "size", salt)).drop("g_h", "g_size", "cuts")
+    parts = d.groupBy("unit", "old_shard").agg(F.sum("size").alias("bytes"))
+    most = F.max(F.struct("bytes", (-F.col("old_shard")).alias("less")))
+    units = parts.groupBy("unit").agg(F.sum("bytes").alias("bytes"), (-most["less"]).alias("home"))
+    units = stage(docs.sparkSession, units, "units")
+    # at most `shards` rows come to the driver, the sizes of the old shards
+    old = {r["home"]: int(r["bytes"]) for r in units.groupBy("home").agg(F.sum("bytes").alias("bytes")).collect()}
+    units = _prefixed(units.withColumn("place", F.pmod(F.xxhash64("unit"), F.lit(1 << 32))), "home", ["place", "unit"], F.col("bytes"), "start", buckets)
     middle = F.col("start") + F.floor(F.col("bytes") / 2)
     to = F.lit(None).cast("int")
     for i, lo, hi, k in plan(old, shards):  # a cut for each pair of shards with a flow
-        to = F.when((F.col("old_shard") == i) & (middle >= lo) & (middle < hi), F.lit(k)).otherwise(to)
-    return d, units.select(F.col("old_shard").alias("u_old"), F.col("unit").alias("u"), to.cast("int").alias("shard"))
+        to = F.when((F.col("home") == i) & (middle >= lo) & (middle < hi), F.lit(k)).otherwise(to)
+    return d, units.select(F.col("unit").alias("u"), to.cast("int").alias("shard"))
 
 
 def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS, split_share: float = 0.02, buckets: int = 512) -> DataFrame:
@@ -132,7 +140,7 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHAR
     """
     crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("text_crc32")
     d, moves = _placed(docs, old_shard, shards, split_share, buckets, [crc])
-    d = d.join(moves, (F.col("old_shard") == F.col("u_old")) & (F.col("unit") == F.col("u"))).drop("u_old", "u")
+    d = d.join(moves, F.col("unit") == F.col("u")).drop("u")
     d = d.withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 32)))
     d = _prefixed(d, "shard", ["place", "doc_id", "h", "size"], F.lit(1), "slot", buckets)
     return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
@@ -146,9 +154,10 @@ def rewrite(docs: DataFrame, path: str, old_shard: Column | None = None, shards:
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     d, moves = _placed(docs, old_shard, shards, split_share, buckets, [row])
-    went = moves.where("shard <> u_old").select("shard", "u_old").distinct().collect()  # at most a row for each pair of shards
+    whence = d.select("unit", "old_shard").distinct().join(moves, F.col("unit") == F.col("u"))
+    went = whence.where("shard <> old_shard").select("shard", "old_shard").distinct().collect()  # at most a row for each pair of shards
     changed = sorted({k for r in went for k in r})
-    rows = d.join(moves.where(F.col("shard").isin(changed)), (F.col("old_shard") == F.col("u_old")) & (F.col("unit") == F.col("u")))
+    rows = d.join(moves.where(F.col("shard").isin(changed)), F.col("unit") == F.col("u"))
     out = rows.select("shard", "_row.*") if "shard" not in docs.columns else rows.select("shard", F.col("_row").dropFields("shard").alias("_row")).select("shard", "_row.*")
     parts = max(1, -(-docs.count() // rows_a_file // shards))
     out.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).repartition("shard", "_part").drop("_part").write.mode("overwrite").partitionBy("shard").parquet(path)
