@@ -155,6 +155,33 @@ def test_packing_prefers_lexical_neighbours():
     assert set(near.tolist()) == {2, 4}
 
 
+def test_packing_ranks_by_all_terms():
+    """The whole BM25 ranking of each seed, by a term at a time over all documents."""
+    rng = np.random.default_rng(4)
+    held = [rng.zipf(1.3, rng.integers(5, 400)).astype(np.uint32) % 3000 for _ in range(150)]
+    index, n, size = packing.Index(held), len(held), np.mean([len(d) for d in held])
+    df = Counter(t for d in held for t in set(d.tolist()))
+    for seed in range(0, n, 10):
+        want = np.zeros(n)
+        for k, d in enumerate(held):
+            c = Counter(d.tolist())
+            for t in set(held[seed].tolist()) & set(c) if k != seed else ():
+                want[k] += math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(d) / size))
+        got = index.neighbours(seed, np.ones(n, bool))
+        assert set(got.tolist()) == set(np.flatnonzero(want).tolist()) and len(got) > 64
+        assert np.all(np.diff(want[got]) < 1e-4)
+
+
+def test_packing_fills_windows_from_the_whole_ranking():
+    """A small document far down the ranking fills the window, so that no other is cut."""
+    seed = np.arange(100, 160, dtype=np.uint32)
+    large = [np.concatenate([seed, np.full(40 + k, 1000 + k, np.uint32)]) for k in range(80)]
+    small = np.array([100, 7, 7, 7], np.uint32)
+    packer = packing.Packer(0, 64)
+    packer.shard([(k, d) for k, d in enumerate([seed, *large, small])])
+    assert [r[0] for r in packer.rows if r[5] == 0] == [0, 81]
+
+
 # 3 ---------------------------------------------------------------------------
 
 

@@ -3,8 +3,8 @@
 Documents are tokenized once, in the task that reads them, and held in shards of
 at most `shard_tokens` tokens.  A shard has an inverted BM25 index over its
 documents' tokens.  Each unused document in turn is a seed: it opens or goes on
-with a window, the index returns its unused neighbours by score, and they fill
-the window greedily, first those that fit, then one that is cut and seeds the
+with a window, the index scores the shard's unused documents by all of the seed's
+terms, and the whole ranked list fills the window greedily, first those that fit, then one that is cut and seeds the
 next window with its rest.  Windows are thus full, all but the last of a task,
 whose tokens are cut into powers of two, so nothing is padded.
 
@@ -90,30 +90,39 @@ class Index:
         norm = k1 * (1 - b + b * sizes / max(sizes.mean(), 1))
         self.weight = (c * (k1 + 1) / (c + norm[self.doc])) * np.repeat(self.idf, df)
         self.df = df
-
-    def neighbours(self, seed: int, unused: np.ndarray, query_terms: int, most: int) -> np.ndarray:
-        """Unused documents by score with the seed's rarest shared terms, best first, ties to the first."""
+        # terms of many documents have rows with a cell per document, at most 8 times the size of their postings
+        often = np.flatnonzero(df * 8 > self.n)
+        self.row = np.full(len(df), -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.n), np.float32)
+        for k, a in enumerate(often):
+            own = slice(self.start[a], self.start[a + 1])
+            self.rows[k, self.doc[own]] = self.weight[own]
+
+    def neighbours(self, seed: int, unused: np.ndarray, query_terms: int | None = None, most: int | None = None) -> np.ndarray:
+        """Unused documents by score with all of the seed's terms (or its `query_terms` rarest shared ones), best first (the first `most`), ties to the first."""
         at = np.searchsorted(self.term, self.own[seed])
         at = at[self.df[at] > 1]
-        if len(at) > query_terms:
+        if query_terms is not None and len(at) > query_terms:
             at = at[np.argsort(self.df[at], kind="stable")[:query_terms]]
         if not len(at):
             return np.empty(0, np.int64)
-        pick = np.concatenate([np.arange(self.start[a], self.start[a + 1]) for a in at])
-        score = np.bincount(self.doc[pick], self.weight[pick], self.n)
+        row = self.row[at]
+        rare = [slice(self.start[a], self.start[a + 1]) for a in at[row < 0].tolist()]
+        score = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        if rare:
+            score += np.bincount(np.concatenate([self.doc[x] for x in rare]), np.concatenate([self.weight[x] for x in rare]), self.n)
         score[~unused] = 0
         score[seed] = 0
         hit = np.flatnonzero(score)
-        if len(hit) > most:
-            hit = hit[np.argpartition(-score[hit], most)[:most]]
-        return hit[np.lexsort((hit, -score[hit]))]
+        return hit[np.lexsort((hit, -score[hit]))][:most]
 
 
 class Packer:
     """Windows of `window` tokens from shards; what is left open goes on into the next shard."""
 
-    def __init__(self, first_sequence: int, window: int, query_terms: int = 24, most: int = 64):
-        self.window, self.query_terms, self.most = window, query_terms, most
+    def __init__(self, first_sequence: int, window: int):
+        self.window = window
         self.sequence, self.filled = first_sequence, 0
         self.pending: list[tuple] = []
         self.rows: list[tuple] = []
@@ -157,7 +166,7 @@ class Packer:
                 unused[seed] = False
                 still_open, nxt = self._pour(docs[seed]), None
                 if still_open:
-                    near = index.neighbours(seed, unused, self.query_terms, self.most)
+                    near = index.neighbours(seed, unused)
                     for k in near[sizes[near] <= self.window - self.filled].tolist():
                         if sizes[k] <= self.window - self.filled:
                             unused[k] = False
