@@ -148,6 +148,15 @@ def test_packing_ids_are_those_of_tokenizers():
         assert fast(t).tolist() == slow(t).tolist()
 
 
+def test_packing_ids_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.default_encoder().path)
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext| >"):
+        assert queries.default_encoder()(t).tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert 50256 in queries.default_encoder()("a <|endoftext|> b").tolist()
+
+
 def test_packing_prefers_lexical_neighbours():
     a, b = np.arange(100, 160, dtype=np.uint32), np.arange(500, 560, dtype=np.uint32)
     index = packing.Index([a, b, a[:50], b[10:], a[5:]])

@@ -41,23 +41,28 @@ def _encoder(table: str, pattern: str) -> Callable[[str], np.ndarray]:
 def _reference(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _added(path: str) -> tuple[str, ...]:
+    """What the vocabulary adds to its ranks: strings that are one id each."""
+    return tuple(t.content for t in _reference(path).get_added_tokens_decoder().values())
 
 
 class Encoder:
     """ids of `tokenizers` for a vocabulary file, made with the same vocabulary's merge ranks where they are at hand.
 
     The ranks give the same ids several times faster; the first `compared` texts
-    of each task are encoded both ways, and a difference is an error.
+    of each task are encoded both ways, and a difference is an error.  Texts that
+    hold an added token are left to `tokenizers`.
     """
 
     def __init__(self, path: str, table: str | None = None, pattern: str | None = None, compared: int = 4):
         self.path, self.table, self.pattern, self.compared = path, table, pattern, compared
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.table is None:
+        if self.table is None or any(t in text for t in _added(self.path)):
             return np.array(_reference(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
         ids = _encoder(self.table, self.pattern)(text)
         if self.compared:
