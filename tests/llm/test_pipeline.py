@@ -100,3 +100,10 @@ def test_near_copies_with_hot_shingles(spark):
     for i, t in enumerate(texts):
         groups.setdefault(top(i), set()).add(t if (t or "").strip() else None)
     assert len({r["component"] for r in found}) == sum(len(g) > 1 for g in groups.values())
+
+
+def test_near_copies_of_equal_ids(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    df = spark.createDataFrame([(5, x, "en", "s", 0), (5, y + " more", "en", "s", 0), (3, y, "en", "s", 0), (7, z, "en", "s", 0), (7, x + " end", "en", "s", 0), (9, y, "en", "s", 0), (9, " ".join(f"q{k}" for k in range(60)), "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_copies(spark, df, SF).collect()}
+    assert got == {(5, "x"), (3, "y"), (7, "z"), (9, "q")}
