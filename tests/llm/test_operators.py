@@ -398,22 +398,62 @@ def test_toxicity_on_held_out_rows(spark):
     auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert auc > 0.85
     hit = sum(r["predicted"] for r in got if r["toxic"])
-    assert hit / max(1, sum(r["predicted"] for r in got)) > 0.8
+    assert hit / max(1, sum(r["predicted"] for r in got)) > 0.8 and hit / len(pos) > 0.8
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
 
 
 def test_toxicity_awkward(spark):
-    bags = [["bad word", "fine"], ["fine day"], ["bad", "day"], ["word fine"]] * 20
-    model = toxicity.fit(bags, [1, 0, 1, 0] * 20)
+    texts = ["bad word. fine", "Fine day", "bad! day", "word fine", None] * 20
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2][:100]
+    labels = spark.createDataFrame([(i, [1, 0, 1, 0, 0][k % 5]) for k, i in enumerate(ids)] + [(None, 1), (ids[0], None)], "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, texts, ids), labels)
     assert model.score("fine day. such a bad day") > 0.5 > model.score("fine word day.")
     assert model.offending("fine day. such a BAD day")[0][0] == "such a bad day"
     got = rows(toxicity.score(docs(spark, [*AWKWARD, "bad"], [None, *range(len(AWKWARD))]), model))
     assert len(got) == len(AWKWARD) + 1 and all(0 <= r["score"] <= 1 for r in got)
-    assert toxicity.fit([], []).score("x") < 0.3 and toxicity.fit([["a"]], [0]).score(None) == 0
+    one = toxicity.train(docs(spark, ["a"], [ids[1]]), labels)
+    assert one.weights == {} and one.score("x") < 0.3 and one.score(None) == 0
     labels = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int")
     assert toxicity.train(docs(spark, []), labels).weights == {}
     assert toxicity.score(docs(spark, []), model).count() == 0
-    assert toxicity.keep_clean(docs(spark, ["bad", "fine"]), model).count() == 1
+    assert sorted(r["text"] or "" for r in toxicity.keep_clean(docs(spark, ["bad", "fine", None, ""]), model).collect()) == ["", "", "fine"]
+
+
+def test_toxicity_noisy_or_and_gradient():
+    """Scores against the product over sentences, the gradient against differences of the loss."""
+    rng = np.random.default_rng(5)
+    vocab = {f: k for k, f in enumerate(["bad$", "bad", "ill$", "worse$"])}
+    texts = [". ".join(" ".join(rng.choice(["bad", "badly", "ill", "worse", "good", "day"], rng.integers(0, 4))) for _ in range(rng.integers(0, 5))) for _ in range(30)]
+    theta, bias = rng.normal(0, 1, 4), -1.5
+    y = rng.integers(0, 2, 30).astype(float)
+    model = toxicity.Model(bias, {f: theta[k] for f, k in vocab.items()})
+
+    def plainly(text, theta, bias):
+        quiet = 1.0
+        for s in toxicity.sentences(text):
+            found = {f for w in s.split() for f in toxicity.features(w) if f in vocab}
+            quiet *= 1 - 1 / (1 + np.exp(-bias - sum(theta[vocab[f]] for f in found)))
+        return 1 - quiet
+
+    assert all(abs(model.score(t) - plainly(t, theta, bias)) < 1e-12 for t in texts)
+    coded = [toxicity.encode(t, vocab) for t in texts]
+    sizes = [c[2] for c in coded]
+    d_of = np.repeat(np.arange(30), [len(x) for x in sizes])
+    s_of = np.repeat(np.arange(len(d_of)), [k for x in sizes for k in x])
+    own = np.array([k for c in coded for k in c[1]])
+    got = toxicity.gradient(theta, bias, y, np.array([c[0] for c in coded], float), own, s_of, d_of, len(d_of))
+
+    def loss(theta, bias):
+        p = np.array([max(plainly(t, theta, bias), 1e-9) for t in texts])
+        return -np.mean([np.log(a) if b else np.log(1 - a) for a, b in zip(p, y, strict=True) if b or a < 1])
+
+    shown = [k for k in range(30) if texts[k].replace(".", "").strip()]
+    texts, y = [texts[k] for k in shown], y[shown]
+    full = 30 / len(shown)
+    for k in range(5):
+        step = np.eye(5)[k] * 1e-6
+        diff = (loss(theta + step[:4], bias + step[4]) - loss(theta - step[:4], bias - step[4])) / 2e-6
+        assert abs(diff - got[k] * full) < 1e-6
 
 
 # 9 ---------------------------------------------------------------------------

@@ -14,9 +14,11 @@ other bits by the same principle (at most max_distance + 1 exact parts), so hot
 values end in small buckets without losing a link.  Within a bucket candidates
 are verified against the whole fingerprint and only a spanning forest leaves.
 
-Bits: lanes * 64.  With `recall` set (longer fingerprints, wide thresholds, where
-the exact principle would compare nearly all pairs), the dynamic programme asks
-for that probability of meeting at a distance of `recall_at` instead of certainty.
+`near_texts` is the same search over longer fingerprints for a Jaccard similarity
+of word shingles.  The pigeonhole's certainty would compare nearly all pairs at
+such distances, so the dynamic programme asks for a probability of meeting at the
+least similarity instead (0.99); partitions widen with the corpus, candidates are
+verified by their whole fingerprints and then exactly, by their shingle sets.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.operators.components import connected_components
 from tidegraph.storage import stage
 
 SEED = 42
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+#: The eight bits of a byte as eight bytes 0 or 1 of one word, the highest first.
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(256)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -51,22 +54,28 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(line[s:e], SEED) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]), ">u8").astype(np.uint64)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(h: np.ndarray, lanes: int) -> np.ndarray:
+    """Hashes -> 64 * lanes bits, packed: 1 where over half of the hashes (from lane 1 on: of mixes of them) have it."""
+    steps = np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(h), 255 * 16):
+        x = h[at : at + 255 * 16, None] + steps
+        x[:, 1:] = _mix(x[:, 1:])
+        spread = _BYTE_BITS[x.astype(">u8").view(np.uint8)]
+        for k in range(0, len(spread), 255):  # a byte counts up to 255
+            counts += np.add.reduce(spread[k : k + 255], axis=0).view(np.uint8)
+    return np.packbits((2 * counts > len(h)).astype(np.uint8))
+
+
 def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> tuple[int, ...]:
     """`lanes` unsigned 64-bit words; all zero for a text without words."""
-    h = shingle_hashes(text, words)
-    out = []
-    for lane in range(lanes):
-        x = h
-        if lane:
-            x = (h ^ (h >> np.uint64(31))) * _ODD[lane]
-            x = (x ^ (x >> np.uint64(29))) * _ODD[0]
-            x ^= x >> np.uint64(32)
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(x), 1 << 16):
-            part = np.ascontiguousarray(x[at : at + (1 << 16)].astype(">u8"))
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-        out.append(int.from_bytes(np.packbits((2 * counts > len(x)).astype(np.uint8)).tobytes(), "big"))
-    return tuple(out)
+    return tuple(int(x) for x in _majority(shingle_hashes(text, words), lanes).view(">u8"))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
@@ -288,31 +297,21 @@ def _links(buckets: DataFrame, lanes: int, distance: int) -> DataFrame:
     return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u string, v string")
 
 
-def links(nodes: DataFrame, lanes: int = 1, max_distance: int = 3, width: int = 16, recall: float | None = None, recall_at: int | None = None, bucket_limit: int = 2000, depth: int = 3) -> DataFrame:
+def links(nodes: DataFrame, lanes: int = 1, max_distance: int = 3, width: int = 16, bucket_limit: int = 2000, depth: int = 3) -> DataFrame:
     """Distinct fingerprints (f0..) -> links (u, v) in hex whose connected sets are those of all links within max_distance."""
     spark = nodes.sparkSession
     groups = bit_groups(nodes, lanes, width)
     most = min(2, max_distance)
     cost, _ = candidate_costs(nodes, lanes, groups, most)
-    if recall is None:
-        gain = np.tile(np.arange(most + 2), (len(groups), 1))
-        need = max_distance + 1
-    else:
-        p = (recall_at or max_distance) / (64 * lanes)
-        gain = np.zeros(cost.shape)
-        for i, g in enumerate(groups):
-            for t in range(most + 1):
-                hit = sum(math.comb(len(g), e) * p**e * (1 - p) ** (len(g) - e) for e in range(t + 1))
-                gain[i, t + 1] = -math.log1p(-min(hit, 0.999999)) * 2000
-        need = min(math.ceil(-math.log(1 - recall) * 2000), int(sum(np.floor(gain[:, -1]))))
-    thresholds = allocate(cost, gain, need)
+    gain = np.tile(np.arange(most + 2), (len(groups), 1))
+    thresholds = allocate(cost, gain, max_distance + 1)
     rows = _spread(nodes.select(*(f"f{k}" for k in range(lanes))), lanes, list(zip(groups, thresholds, strict=True)), 0)
     found = None
     for level in range(depth):
         rows = stage(spark, rows, "keys") if level else rows
         heavy = rows.groupBy("key").count().where(F.col("count") > bucket_limit).select("key")
         heavy = stage(spark, heavy, "heavy")
-        if recall is not None or heavy.isEmpty():
+        if heavy.isEmpty():
             break
         light = _links(rows.join(heavy, "key", "left_anti"), lanes, max_distance)
         found = light if found is None else found.union(light)
@@ -348,3 +347,352 @@ def components(docs: DataFrame, words: int = 3, lanes: int = 1, max_distance: in
     lows = in_sets.groupBy("root").agg(F.min("low").alias("component_id"))
     named = alone.unionByName(in_sets.join(lows, "root").select("fingerprint", "class_size", "component_id"))
     return prints.select("doc_id", hexed.alias("fingerprint")).join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "class_size")
+
+
+def text_keys(text: Column) -> list[Column]:
+    """128 bits (t0, t1) of a text; null texts and texts without words are one text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    text = F.when(text.rlike(r"[^\x09-\x0d\x20]"), text).otherwise(F.lit(""))
+    return [F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(7), text).alias("t1")]
+
+
+def hexed(*names: str) -> Column:
+    return F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names))
+
+
+def _text_prints(texts: DataFrame, words: int, lanes: int) -> DataFrame:
+    """(t0, t1, text) -> distinct (t0, t1, n, print): n distinct shingles, none for texts without words, and the bits of their majority."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, prints = [], []
+            for t in b.column(2).to_pylist():
+                own = np.unique(shingle_hashes(t, words))
+                n.append(len(own))
+                prints.append(_majority(own, lanes).tobytes())
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(prints, pa.binary())], ["t0", "t1", "n", "print"])
+            yield out.filter(pa.array(np.array(n) > 0))
+
+    found = texts.select("t0", "t1", "text").mapInArrow(run, "t0 long, t1 long, n int, print binary")
+    return found.groupBy("t0", "t1").agg(F.min("n").alias("n"), F.min("print").alias("print"))
+
+
+def _print_bits(column: pa.Array, lanes: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 * lanes), axis=1)
+
+
+def lane_groups(prints: DataFrame, lanes: int, width: int) -> tuple[list[list[int]], np.ndarray]:
+    """Partitions of `width` bits inside lanes, the bits that correlate most over all prints together, and each bit's share of ones.
+
+    A task returns a 64 x 64 matrix of counts for each lane; these are summed on
+    the executors, and one matrix a lane comes to the driver.
+    """
+    cells = 64 * 64 + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((lanes, 64, 64), np.int64), 0
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                x = _print_bits(b.column(0).slice(at, 2048), lanes).reshape(-1, lanes, 64).transpose(1, 2, 0).astype(np.float32)
+                total += (x @ x.transpose(0, 2, 1)).astype(np.int64)
+            rows += b.num_rows
+        if rows:
+            counts = [np.append(m.reshape(-1), rows).tobytes() for m in total]
+            yield pa.RecordBatch.from_arrays([pa.array(range(lanes), pa.int32()), pa.array(counts, pa.binary())], ["lane", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for lane, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[lane] = sums.get(lane, 0) + np.frombuffer(counts, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lane", "counts"])
+
+    kind = "lane int, counts binary"
+    found = prints.select("print").mapInArrow(count, kind).repartition(F.col("lane"), F.spark_partition_id() % 32).mapInArrow(add, kind).repartition("lane").mapInArrow(add, kind)
+    by_lane = {r["lane"]: np.frombuffer(r["counts"], np.int64) for r in found.collect()}  # a matrix a lane
+    groups, shares = [], np.full(64 * lanes, 0.5)
+    for lane in range(lanes):
+        counts = by_lane.get(lane, np.zeros(cells, np.int64))
+        rows, both = max(int(counts[-1]), 1), counts[:-1].reshape(64, 64)
+        p = np.diag(both) / rows
+        shares[64 * lane : 64 * lane + 64] = p
+        spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
+        corr = np.abs((both / rows - np.outer(p, p)) / np.outer(spread, spread))
+        np.fill_diagonal(corr, 0)
+        left = list(range(64))
+        while len(left) >= width:
+            group = [left[int(np.argmax(corr[np.ix_(left, left)].sum(axis=1)))]]
+            left.remove(group[0])
+            while len(group) < width:
+                group.append(left[int(np.argmax(corr[np.ix_(left, group)].sum(axis=1)))])
+                left.remove(group[-1])
+            groups.append(sorted(64 * lane + b for b in group))
+    return groups, shares
+
+
+def _at_most(chances: np.ndarray, most: int) -> np.ndarray:
+    """Chances that at most 0, 1 .. `most` of independent events happen."""
+    dist = np.zeros(most + 2)
+    dist[0] = 1
+    for c in chances:
+        dist[1:] = dist[1:] * (1 - c) + dist[:-1] * c
+        dist[0] *= 1 - c
+    return np.cumsum(dist)[: most + 1]
+
+
+def near_thresholds(groups: list[list[int]], shares: np.ndarray, rows: int, error: float, recall: float, most: int = 1) -> list[int]:
+    """t_i by dynamic programming: least keys and expected candidates for a chance of `recall` that prints with this share of differing bits meet."""
+    cost, gain = np.zeros((len(groups), most + 2)), np.zeros((len(groups), most + 2))
+    for i, g in enumerate(groups):
+        random = _at_most(2 * shares[g] * (1 - shares[g]), most)
+        meet = _at_most(np.full(len(g), error), most)
+        keys = np.cumsum([math.comb(len(g), t) for t in range(most + 1)])
+        cost[i, 1:] = keys * rows + 0.02 * random * rows * rows / 2
+        gain[i, 1:] = np.floor(-np.log1p(-np.minimum(meet, 0.999999)) * 200)
+    need = min(math.ceil(-math.log(1 - recall) * 200), int(gain[:, -1].sum()))
+    return allocate(cost, gain, need)
+
+
+def _near_keys(prints: DataFrame, lanes: int, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """(key, t0, t1, a, b) for each key of each print; a and b are its first two lanes."""
+    parts = [(k, g, _flips(len(g), t)) for k, (g, t) in enumerate(parts) if t >= 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                bits = _print_bits(b.column(2), lanes)
+                two = np.packbits(bits[:, :128], axis=1).view(">u8").astype(np.uint64).view(np.int64)
+                own = [b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), two[:, 0], two[:, 1]]
+                for k, group, flips in parts:
+                    v = (_project(bits, group)[:, None] ^ flips[None, :]).reshape(-1).view(np.uint64)
+                    key = _mix(v + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)
+                    rows = own if len(flips) == 1 else [np.repeat(c, len(flips)) for c in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, rows)], ["key", "t0", "t1", "a", "b"])
+
+    return prints.select("t0", "t1", "print").mapInArrow(run, "key long, t0 long, t1 long, a long, b long")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first, cut only between its values."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held and cols[0][-1] == held[-1][0][-1]:
+            held.append(cols)
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        held.append([c[:cut] for c in cols])
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        held = [[c[cut:] for c in cols]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _ball_pairs(two: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (x, y, their distance) that connect what pairs within `distance` connect.
+
+    Greedy balls of half the radius: members are linked to their centre, two
+    balls whose centres are near enough by their closest members.
+    """
+    apart = lambda i, js: np.bitwise_count(two[js] ^ two[i]).sum(axis=1, dtype=np.int64)
+    left, balls = np.arange(len(two)), []
+    xs, ys, ws = [], [], []
+    while len(left):
+        d = apart(left[0], left)
+        mine = d <= distance // 2
+        balls.append(left[mine])
+        xs.append(np.full(mine.sum() - 1, left[0]))
+        ys.append(left[mine][1:])
+        ws.append(d[mine][1:])
+        left = left[~mine]
+    centres = np.array([m[0] for m in balls])
+    for k, m in enumerate(balls):
+        d = apart(centres[k], centres[k + 1 :])
+        for j in (np.flatnonzero(d <= distance + 2 * (distance // 2)) + k + 1).tolist():
+            best = (distance + 1, 0, 0)
+            for x in m.tolist():
+                far = apart(x, balls[j])
+                at = int(far.argmin())
+                best = min(best, (int(far[at]), x, int(balls[j][at])))
+            if best[0] <= distance:
+                xs.append([best[1]]), ys.append([best[2]]), ws.append([best[0]])
+    return tuple(np.concatenate([np.empty(0, np.int64), *v]).astype(np.int64) for v in (xs, ys, ws))
+
+
+def _closest(n: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of least distances over the pairs, by rounds in which each part takes its closest pair to another."""
+    order = np.lexsort((y, x, w))
+    x, y = x[order], y[order]
+    rank, part, taken = np.arange(len(x)), np.arange(n), []
+    while True:
+        open_ = part[x[rank]] != part[y[rank]]
+        rank = rank[open_]
+        if not len(rank):
+            break
+        best = np.full(n, len(x))
+        np.minimum.at(best, part[x[rank]], rank)
+        np.minimum.at(best, part[y[rank]], rank)
+        for k in np.unique(best[best < len(x)]).tolist():
+            i, j = int(part[x[k]]), int(part[y[k]])
+            while part[i] != i:
+                i = int(part[i])
+            while part[j] != j:
+                j = int(part[j])
+            if i != j:
+                part[max(i, j)] = min(i, j)
+                taken.append(k)
+        while True:
+            up = part[part]
+            if (up == part).all():
+                break
+            part = up
+    return x[taken], y[taken]
+
+
+def _near(keys: DataFrame, distance: int, limit: int) -> DataFrame:
+    """(key, t0, t1, r0, r1): each row of a bucket with another within `distance` of its first two lanes once
+    with r its own id, and the links of a forest of least distances over these rows with r the other end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t0, t1, a, b in _by_key(batches):
+            two = np.stack([a, b], axis=1).view(np.uint64)
+            n = len(key)
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.empty(0, np.int64)
+            sizes = np.diff(np.append(starts, n))
+            at, d, found = np.flatnonzero(np.repeat(sizes <= limit, sizes)), 1, []
+            while True:
+                at = at[at + d < n]
+                at = at[key[at] == key[at + d]]
+                if not len(at):
+                    break
+                far = np.bitwise_count(two[at, 0] ^ two[at + d, 0]).astype(np.int64) + np.bitwise_count(two[at, 1] ^ two[at + d, 1])
+                hit = far <= distance
+                found.append((at[hit], at[hit] + d, far[hit]))
+                d += 1
+            for k in np.flatnonzero(sizes > limit).tolist():
+                x, y, w = _ball_pairs(two[starts[k] : starts[k] + sizes[k]], distance)
+                found.append((x + starts[k], y + starts[k], w))
+            if not found:
+                continue
+            x, y, w = (np.concatenate(v) for v in zip(*found, strict=True))
+            own = np.unique(np.concatenate([x, y]))
+            u, v = _closest(n, x, y, w)
+            i, r = np.concatenate([own, v]), np.concatenate([own, u])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[i], t0[i], t1[i], t0[r], t1[r])], ["key", "t0", "t1", "r0", "r1"])
+
+    return keys.repartition("key").sortWithinPartitions("key", "t0", "t1").mapInArrow(run, "key long, t0 long, t1 long, r0 long, r1 long")
+
+
+def _likely(d: np.ndarray, n: np.ndarray, m: np.ndarray, bits: int, p: int, q: int) -> np.ndarray:
+    """Which pairs of prints at these distances, of sets of n and m shingles, may have the similarity p/q."""
+    least = np.minimum(n, m)
+    error = np.where(least < 8, math.acos(2 * p / (p + q)) / math.pi + 0.04, math.acos(2 * p / (p + q)) / math.pi)
+    return (d <= bits * error + 4 * np.sqrt(bits * error * (1 - error))) & (least * q >= np.maximum(n, m) * p)
+
+
+def _crossing(rows: DataFrame, lanes: int, p: int, q: int) -> DataFrame:
+    """(key, t0, t1, c, n, print) -> pairs (c0, c1, t0, t1) of a bucket in different components c whose prints are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t0, t1, c, n, prints in _by_key(batches):
+            words = np.frombuffer(b"".join(prints.tolist()), np.uint64).reshape(-1, lanes)
+            at, d = np.arange(len(key)), 1
+            while True:
+                at = at[at + d < len(key)]
+                at = at[key[at] == key[at + d]]
+                if not len(at):
+                    break
+                x = at[c[at] != c[at + d]]
+                far = np.bitwise_count(words[x] ^ words[x + d]).sum(axis=1, dtype=np.int64)
+                x = x[_likely(far, n[x].astype(np.int64), n[x + d].astype(np.int64), 64 * lanes, p, q)]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (t0[x], t1[x], t0[x + d], t1[x + d])], ["c0", "c1", "t0", "t1"])
+                d += 1
+
+    dealt = rows.select("key", "t0", "t1", "c", "n", "print").repartition("key").sortWithinPartitions("key", "t0", "t1")
+    return dealt.mapInArrow(run, "c0 long, c1 long, t0 long, t1 long")
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words: int, lanes: int, p: int, q: int) -> DataFrame:
+    """Distinct pairs (c0, c1, t0, t1) -> links (u, v) in hex, those whose shingle sets have the similarity p/q or more.
+
+    A pair's whole prints are compared first, its texts only if these are near.
+    """
+    spark = pairs.sparkSession
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, lanes) for k in (5, 7))
+            n, m = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 6))
+            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            b = b.filter(pa.array(_likely(far, n, m, 64 * lanes, p, q)))
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(4)], ["c0", "c1", "t0", "t1"])
+
+    other = prints.select(F.col("t0").alias("c0"), F.col("t1").alias("c1"), F.col("n").alias("m"), F.col("print").alias("other"))
+    both = pairs.join(prints, ["t0", "t1"]).join(other, ["c0", "c1"]).select("c0", "c1", "t0", "t1", "n", "print", "m", "other")
+    near = stage(spark, both.mapInArrow(close, "c0 long, c1 long, t0 long, t1 long"), "pairs", tidy=True)
+    ids = near.select("t0", "t1").union(near.select("c0", "c1")).distinct()
+    own = stage(spark, texts.join(ids, ["t0", "t1"], "left_semi").groupBy("t0", "t1").agg(F.first("text").alias("text")), "texts", tidy=True)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.empty(0, np.uint64)
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(4), b.column(5), strict=True):
+                x = x.as_py()
+                if x != last:
+                    last, held = x, np.unique(shingle_hashes(x, words))
+                mine = np.unique(shingle_hashes(y.as_py(), words))
+                both = len(np.intersect1d(held, mine, assume_unique=True))
+                keep.append(both * q >= (len(held) + len(mine) - both) * p)
+            b = b.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(4)], ["c0", "c1", "t0", "t1"])
+
+    named = own.select(F.col("t0").alias("c0"), F.col("t1").alias("c1"), F.col("text").alias("other"))
+    asked = near.join(own, ["t0", "t1"]).join(named, ["c0", "c1"]).select("c0", "c1", "t0", "t1", "other", "text")
+    good = asked.mapInArrow(alike, "c0 long, c1 long, t0 long, t1 long")
+    return stage(spark, good.select(hexed("c0", "c1").alias("u"), hexed("t0", "t1").alias("v")), "links", tidy=True)
+
+
+def near_texts(texts: DataFrame, words: int = 5, p: int = 4, q: int = 5, recall: float = 0.99, bucket_limit: int = 512) -> DataFrame:
+    """(t0, t1, text) as of text_keys, copies and nulls included -> (vertex, component) of texts linked to others; vertex: t0 and t1 in hex.
+
+    Texts link where their sets of `words`-word shingles have a Jaccard
+    similarity of p/q or more, checked exactly; a pair of just that similarity is
+    a candidate with a chance of `recall` or more (nearer ones nearly always;
+    sets of under 8 shingles may miss some more).  A text without words links to none.
+
+    1. Each text's print (1024 bits; 2048 above a million texts) is probed by
+       partition; a bucket gives a forest of its closest pairs, so a group of
+       copies costs its size in links, not its square.
+    2. Links that hold give components.  Buckets whose rows are then in more
+       than one give all pairs between these that their whole prints allow.
+
+    A bucket is held by one task, 40 bytes a row; above `bucket_limit` rows it is
+    compared by balls, linear in its size where it is a group of near copies.
+    """
+    spark = texts.sparkSession
+    rows = texts.count()
+    lanes, width = (16, 16) if rows <= 1 << 20 else (32, 21) if rows <= 1 << 28 else (64, 32)
+    error = math.acos(2 * p / (p + q)) / math.pi
+    prints = stage(spark, _text_prints(texts, words, lanes), "prints", tidy=True)
+    groups, shares = lane_groups(prints, lanes, width)
+    parts = list(zip(groups, near_thresholds(groups, shares, rows, error, recall), strict=True))
+    distance = math.ceil(128 * (error + 0.04) + 2.6 * math.sqrt(128 * (error + 0.04) * (0.96 - error)))
+    near = stage(spark, _near(_near_keys(prints, lanes, parts), distance, bucket_limit), "near", tidy=True)
+    own = (F.col("t0") == F.col("r0")) & (F.col("t1") == F.col("r1"))
+    forest = near.where(~own).select(F.col("r0").alias("c0"), F.col("r1").alias("c1"), "t0", "t1").distinct()
+    sure = _verified(forest, prints, texts, words, lanes, p, q)
+    found = connected_components(sure)
+    vertex = hexed("t0", "t1")
+    named = near.where(own).select("key", "t0", "t1", vertex.alias("vertex")).join(found, "vertex", "left").select("key", "t0", "t1", F.xxhash64(F.coalesce("component", "vertex")).alias("c"))
+    named = stage(spark, named, "named", tidy=True)
+    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    across = _crossing(named.join(mixed, "key", "left_semi").join(prints, ["t0", "t1"]), lanes, p, q)
+    across = across.select(*(F.when(F.struct("c0", "c1") < F.struct("t0", "t1"), F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("c0", "c0", "t0"), ("c1", "c1", "t1"), ("t0", "t0", "c0"), ("t1", "t1", "c1"))))
+    more = _verified(across.distinct(), prints, texts, words, lanes, p, q)
+    return found if more.isEmpty() else connected_components(sure.union(more))
