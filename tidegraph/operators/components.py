@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Every round is two grouped minima and two equi-joins over the current edge
-set, so a hub vertex is pre-aggregated on the map side and its join side is
-split by AQE.  Each round is written to the shared folder, which cuts the
+set.  A hub is pre-aggregated on the map side, and its edges meet its minimum by a
+broadcast of the hubs alone: vertices with more than a `HUBS`-th of all edges, so
+of a bounded number.  Each round is written to the shared folder, which cuts the
 lineage and lets the job go on when executors are lost.
 """
 
@@ -13,11 +14,19 @@ from pyspark.sql import functions as F
 
 from tidegraph.storage import stage
 
+#: There are at most twice as many hubs, whatever the number of edges.
+HUBS = 20_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hub = F.col("n") > max(64, n_edges // HUBS)
+    hubs = F.broadcast(least.where(hub).select(F.col("u").alias("hub"), F.col("m").alias("low")))
+    told = both.join(hubs, both["u"] == F.col("hub"), "left").select("u", "v", "low")
+    rest = told.where("low is null").select("u", "v").join(least.where(~hub).select("u", "m"), "u")
+    moved = rest.select("u", "v", "m").union(told.where("low is not null").select("u", "v", F.col("low").alias("m")))
+    return moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -36,13 +45,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     now = edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct()
-    seen = None
+    now = stage(spark, now, "edges")
+    seen, n_edges = None, now.count()
     for _ in range(max_rounds):
-        now = stage(spark, _small_star(_large_star(now)), "stars")
+        now = stage(spark, _small_star(_large_star(now, n_edges)), "stars")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v", "u") % 998244353)).first()
         if tuple(mark) == seen:
             break
-        seen = tuple(mark)
+        seen, n_edges = tuple(mark), mark[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("vertex")).distinct()
