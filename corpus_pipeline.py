@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import jaccard, mixing, packing, queries, suffix, toxicity
+from tidegraph.llm import mixing, packing, queries, simhash, suffix, toxicity
 from tidegraph.storage import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,10 +25,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with equal doc_ids are judged by their texts: both stay where these are
     in different groups.  A row without a doc_id goes by a hash of its text, after all others.
     """
-    rows = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))).alias("_id"), *jaccard.text_keys(F.col("text")))
-    found = jaccard.components(rows.select("t0", "t1", "text"), WORDS, *SIMILARITY)
+    rows = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))).alias("_id"), *simhash.text_keys(F.col("text")))
+    found = simhash.near_texts(rows.select("t0", "t1", "text"), WORDS, *SIMILARITY)
     # a group keeps the text that holds its least id, and of this text's rows the one of that id
-    lows = rows.groupBy("t0", "t1").agg(F.min("_id").alias("_id")).withColumn("vertex", jaccard.hexed("t0", "t1"))
+    lows = rows.groupBy("t0", "t1").agg(F.min("_id").alias("_id")).withColumn("vertex", simhash.hexed("t0", "t1"))
     group = F.coalesce("component", "vertex")
     keep = lows.join(found, "vertex", "left").groupBy(group.alias("_group")).agg(F.min(F.struct("_id", "t0", "t1")).alias("_least")).select("_least.*")
     row = F.struct("text", "source", "lang", "n_chars", "doc_id")
