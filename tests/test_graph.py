@@ -6,6 +6,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tidegraph import storage
+from tidegraph.catalog import SCHEMAS, Catalog, ingest, register_class
 from tidegraph.functions import encoders
 from tidegraph.operators import algorithms, dictionary, edges, traverse, views
 from tidegraph.plans.tables import Tables
@@ -116,10 +118,10 @@ def test_views_of_the_same_edges_agree(spark, t, tmp_path):
 
 
 def test_snapshots_and_export(spark, t, tmp_path):
-    marks = views.snapshots(1000, 256)
-    assert marks == [(0, 256), (1, 512), (2, 768), (3, 1000)] and views.snapshots(0) == []
-    sinks.write_snapshots(spark, marks, str(tmp_path / "snap"))
-    assert sorted(map(tuple, sinks.read_snapshots(spark, str(tmp_path / "snap")).collect())) == marks
+    marks = views.snapshots(spark, 1000, 256)
+    sinks.write_snapshots(marks, str(tmp_path / "snap"))
+    assert sorted(map(tuple, sinks.read_snapshots(spark, str(tmp_path / "snap")).collect())) == [(0, 256), (1, 512), (2, 768), (3, 1000)]
+    assert views.snapshots(spark, 0).count() == 0 and [views.marker_of(k, 1000, 256) for k in (0, 3, 9)] == [256, 1000, 1000]
     sinks.export_adjacency(edges.csr(t.vertices(), t.log()), t.log(), str(tmp_path / "adj"))
     read = lambda part: [r["value"] for r in spark.read.text(str(tmp_path / "adj" / part)).collect()]
     assert read("0-head") == ["AdjacencyGraph", "150", "1500"] and len(read("1-offsets")) == 150 and len(read("2-neighbours")) == 1500
@@ -205,3 +207,134 @@ def test_components_of_long_chains(spark):
         got[r["component"]].add(r["vid"])
     assert sorted(map(sorted, got.values())) == sorted(sorted(ids[k : k + 100]) for k in (0, 100, 200))
     assert all(min(m) == c for c, m in got.items())
+
+
+def test_logs_of_one_edge_and_none(spark):
+    log = spark.createDataFrame([(0, 1, 1, 2, 0)], LOG)
+    assert views.static_view(log, vertices(spark, 3)).edges.count() == 1
+    assert views.static_view(log.limit(0), vertices(spark, 3)).edges.count() == 0 and edges.head_of(log.limit(0)) == 0
+    assert runners.Stateful(log.select("eid", "src", "dst"), runners.degree_step).result().collect()[0]["degree"] == 1
+
+
+def test_search_goes_to_the_end_of_a_path(spark):
+    e = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    want = {k: k for k in range(41)}
+    found = lambda d: {r["vid"]: r["level"] for r in d.collect()}
+    assert found(algorithms.bfs(e, 0, first=0)) == want
+    assert found(algorithms.bfs(e, 0, first=0, depth=5)) == {k: k for k in range(6)}
+    start = spark.createDataFrame([(0, 0)], "vid long, level int")
+    assert found(algorithms.relax(start, e, start)) == want
+    assert found(algorithms.bfs_tiles(e.where("src < 12"), 12, 2, first=0)) == {12 - k: k for k in range(13)}
+    path = algorithms.shortest_path(e.union(e.where("src = 3").withColumn("dst", F.lit(5))), 0, 7).collect()
+    assert sorted((r["step"], r["vid"]) for r in path) == list(enumerate([0, 1, 2, 3, 5, 6, 7]))
+    assert algorithms.shortest_path(e, 7, 0).count() == 0
+
+
+def test_rank_settles_below_any_change(spark, t):
+    e = t.log().select("src", "dst")
+    a, b = ({r["vid"]: r["rank"] for r in algorithms.pagerank_to(t.vertices(), e, eps, block=k).collect()} for eps, k in ((1e-3, 2), (1e-3, 5)))
+    assert a == pytest.approx(b, abs=1e-12)  # the first round under epsilon, whatever the blocks
+
+
+def test_streams_go_on_after_a_restart(spark, t, tmp_path):
+    """A new view object, as another driver would make one, takes up state and place from the folder."""
+    log = t.log().select("eid", "src", "dst")
+    path = str(tmp_path / "log")
+    runners.append(log, path, 0, 600, 2)
+    runners.StreamView(spark, path, log.schema, runners.wcc_step).start().awaitTermination()
+    runners.append(log, path, 600, 1500, 2)
+    again = runners.StreamView(spark, path, log.schema, runners.wcc_step)
+    again.start()
+    assert {tuple(r) for r in again.wait().state().collect()} == {tuple(r) for r in algorithms.wcc(log).collect()}
+    # a batch that is run again gives the same version
+    batch = spark.read.schema(log.schema).parquet(path).where("eid >= 1050")
+    again._advance(batch, 3)
+    assert {tuple(r) for r in again.state().collect()} == {tuple(r) for r in algorithms.wcc(log).collect()}
+    timed = runners.StreamView(spark, path, log.schema, runners.degree_step, "timed", files=2, every="100 milliseconds")
+    timed.start()
+    assert timed.wait().state().agg(F.sum("degree")).first()[0] == 1500
+    runners.append(log, path, 0, 10)
+    assert timed.wait().state().agg(F.sum("degree")).first()[0] == 1510
+    timed.unregister()
+    assert timed.state() is None and not timed.query.isActive
+
+
+def test_windows_on_a_stream(spark, tmp_path):
+    day = lambda k: f"2024-01-0{k}T10:00:00"
+    spark.createDataFrame([(1, day(1), 2.0), (1, day(1), 3.0), (2, day(2), 5.0), (1, day(9), 1.0)], "src long, at string, value double").coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("src long, at string, value double").json(str(tmp_path / "in")).withColumn("ts", F.to_timestamp("at")).select("src", "ts", "value")
+    q = runners.windowed(stream).writeStream.format("memory").queryName("windows").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["src"], str(r["start"])[:10]): (r["n"], r["total"]) for r in spark.table("windows").collect()}
+    assert got == {(1, "2024-01-01"): (2, 5.0), (2, "2024-01-02"): (1, 5.0), (1, "2024-01-09"): (1, 1.0)}
+
+
+def test_catalog(spark):
+    c = Catalog.from_conf(SCHEMAS["snb"])
+    assert (c.types["person"], c.types["organisation"]) == (2, 7) and c.entries["forum_containerOf_post"].cls == "one2many"
+    assert c.entries["person_knows_person"].prop == "creationDate" and len(c.relations()) + len(c.properties()) == c.table(spark).count()
+    for text in SCHEMAS.values():
+        assert Catalog.from_conf(text).relations()
+    with pytest.raises(ValueError):
+        c.add_relation("person_knows_person")
+    with pytest.raises(ValueError):
+        c.add_relation("new", "no such class")
+    register_class("first", "directed", lambda log: log.groupBy("src").agg(F.min_by("dst", "eid").alias("dst")))
+    c.add_relation("mine", "first")
+    c.add_edge_property("mine", "since", "int64")
+    c.put("mine", spark.createDataFrame([(0, 1, 7), (1, 1, 8), (2, 2, 9)], "eid long, src long, dst long"))
+    assert {(r["src"], r["dst"]) for r in c.view("mine", vertices(spark, 3)).edges.collect()} == {(1, 7), (2, 9)}
+    assert c.view("mine", vertices(spark, 3), 1).edges.count() == 1 and not c.view("mine", vertices(spark, 3)).is_unidir
+
+
+def test_binary_graph_and_action_files(spark, tmp_path):
+    words = lambda *x: b"".join(k.to_bytes(8, "little", signed=True) for k in x)
+    (tmp_path / "g.bin").write_bytes(words(readers.STINGER, 3, 4, 0, 2, 2, 4, 1, 2, 0, 0, 5, 6, 7, 8))
+    (tmp_path / "a.bin").write_bytes(words(readers.STINGER, 3, 1, 2, -2, -1, -2, -1))
+    load = lambda f: spark.read.format("binaryFile").load(str(tmp_path / f))
+    g = readers.stinger_graph(load("g.bin"))
+    assert sorted(map(tuple, g.select("src", "dst", "weight").collect())) == [(0, 1, 5), (0, 2, 6), (2, 0, 7), (2, 0, 8)]
+    a = readers.stinger_actions(load("a.bin"))
+    assert sorted(map(tuple, a.collect())) == [(0, 1, 1, 2), (1, -1, 2, 1), (2, -1, 2, 1)]
+    rows = [(k, e["op"], e["src"], e["dst"]) for k, e in enumerate(a.orderBy("eid").collect())]
+    whole = g.select("pos", F.lit(1), "src", "dst").union(spark.createDataFrame([(4 + k, op, s, d) for k, op, s, d in rows], "eid long, op int, src long, dst long")).toDF("eid", "op", "src", "dst")
+    assert sorted((r["src"], r["dst"]) for r in edges.live_edges(whole).collect()) == [(0, 1), (0, 2), (1, 2), (2, 0), (2, 0)]
+    with pytest.raises(Exception, match="no graph file"):
+        readers.stinger_graph(load("a.bin").select(F.lit(b"12345678").alias("content"))).collect()
+    mine = spark.createDataFrame([((1).to_bytes(4, "little") + (2).to_bytes(8, "little") + b"\x00\x00\xc0\x3f",)], "content binary")
+    assert tuple(readers.unpack_records(mine, [("src", "<u4"), ("dst", "<u8"), ("w", "<f4")]).first()) == (1, 2, 1.5)
+
+
+def test_ingest_keeps_clashing_properties_apart(spark, tmp_path):
+    (tmp_path / "tag.csv").write_text("id|name|key\n3|Pop|x\n1|Rock|y\n")
+    (tmp_path / "has.csv").write_text("a|b\n1|3\n1|9\n")
+    conf = "%%schema%%\nhas directed\nname property\nkey property\n%%vertex%%\ntag.csv tag\n%%edge%%\nhas.csv has tag tag\n"
+    c = Catalog.from_conf(conf)
+    ids, values, ends = ingest(c, *readers.property_graph(spark, conf, str(tmp_path)))
+    assert {r["name"]: r["vid"] for r in ids.collect()} == {"tag1": 0, "tag3": 1}
+    assert {(r["sid"], r["name"], r["value"]) for r in values.collect()} == {(0, "name", "Rock"), (0, "key", "y"), (1, "name", "Pop"), (1, "key", "x")}
+    assert [tuple(r) for r in ends.collect()] == [("has", 0, 1, None)]  # no file has tag9
+
+
+def test_hub_of_a_large_component(spark):
+    pairs = [(0, k) for k in range(1, 400)] + [(500, 501)]
+    got = {r["vid"]: r["component"] for r in algorithms.wcc(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {**dict.fromkeys(range(400), 0), 500: 500, 501: 500}
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session())

@@ -6,47 +6,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.operators.components import connected_components
+from tidegraph.operators.edges import tiles, undirected
 from tidegraph.storage import stage
 
 
-def bfs(edges: DataFrame, root: int, first: int = 1, most: int = 200, target: int | None = None) -> DataFrame:
-    """(vid, level) of what root reaches; the root's level is `first`.
+#: Rounds after which the pieces of a growing result are written as one.
+COMPACT = 8
+
+
+def bfs(edges: DataFrame, root: int, first: int = 1, depth: int | None = None, target: int | None = None) -> DataFrame:
+    """(vid, level) of what root reaches, over at most `depth` edges if that is given; the root's level is `first`.
 
     The frontier alone meets the edges in each round; the levels so far are only
-    probed.  Each round is written to the shared folder.
+    probed.  Each round is written to the shared folder.  With a target it ends at
+    the target's level.
     """
     spark = edges.sparkSession
     e = stage(spark, edges.select("src", "dst").where("src <> dst").distinct(), "bfs-edges")
     seen = frontier = spark.createDataFrame([(root, first)], "vid long, level int")
-    for level in range(first + 1, first + 1 + most):
+    level = first
+    while depth is None or level < first + depth:
+        level += 1
         reached = e.join(frontier.select(F.col("vid").alias("src")), "src").select(F.col("dst").alias("vid")).distinct()
         frontier = stage(spark, reached.join(seen, "vid", "left_anti").withColumn("level", F.lit(level)), "bfs")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if (level - first) % COMPACT == 0:
+            seen = stage(spark, seen, "levels")
         if target is not None and not frontier.where(F.col("vid") == target).isEmpty():
             break
     return seen
 
 
-def relax(levels: DataFrame, edges: DataFrame, changed: DataFrame, most: int = 200) -> DataFrame:
+def shortest_path(edges: DataFrame, root: int, target: int) -> DataFrame:
+    """(step, vid) of a shortest path from root (step 0) to target, of several the one of least predecessors; no rows if there is none."""
+    spark = edges.sparkSession
+    levels = bfs(edges, root, first=0, target=target)
+    at = levels.where(F.col("vid") == target).first()
+    path = [(at["level"], target)] if at else []
+    while path and path[-1][0]:
+        step, vid = path[-1]
+        before = levels.where(F.col("level") == step - 1).select(F.col("vid").alias("src"))
+        path.append((step - 1, edges.where(F.col("dst") == vid).join(before, "src", "left_semi").agg(F.min("src")).first()[0]))
+    return spark.createDataFrame(path, "step int, vid long")
+
+
+def relax(levels: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Bring levels (vid, level) up to date after edges were added, from the changed vertices (vid) on.
 
     Only vertices that change or get a better level are followed, so a round
-    costs what it touches; right for insert-only logs.
+    costs what it touches and writes only that; right for insert-only logs.
     """
     spark = edges.sparkSession
     now = levels
     frontier = levels.join(changed.select("vid").distinct(), "vid", "left_semi")
-    for _ in range(most):
+    rounds = 0
+    while True:
         offer = frontier.join(edges, F.col("vid") == F.col("src")).groupBy(F.col("dst").alias("vid")).agg((F.min("level") + 1).alias("offer"))
-        better = offer.join(now, "vid", "left").where(F.col("level").isNull() | (F.col("offer") < F.col("level"))).select("vid", F.col("offer").cast("int").alias("level"))
-        better = stage(spark, better, "relax")
-        if better.isEmpty():
-            break
-        now = stage(spark, now.join(better, "vid", "left_anti").unionByName(better), "levels")
-        frontier = better
-    return now
+        best = offer.join(now, "vid", "left").groupBy("vid").agg(F.min("offer").alias("offer"), F.min("level").alias("level"))
+        frontier = stage(spark, best.where(F.col("level").isNull() | (F.col("offer") < F.col("level"))).select("vid", F.col("offer").cast("int").alias("level")), "relax")
+        if frontier.isEmpty():
+            return now.groupBy("vid").agg(F.min("level").alias("level")) if rounds else now
+        rounds += 1
+        now = now.unionByName(frontier)  # the least of a vertex's rows counts
+        if rounds % COMPACT == 0:
+            now = stage(spark, now.groupBy("vid").agg(F.min("level").alias("level")), "levels")
+
+
+def bfs_tiles(edges: DataFrame, root: int, bits: int = 16, first: int = 1) -> DataFrame:
+    """(vid, level) by correcting labels over tiles of the vertex grid, both ways: only tiles with a changed source are looked at.
+
+    In a round each live tile gives each of its destinations the best level.
+    """
+    spark = edges.sparkSession
+    e = stage(spark, tiles(undirected(edges.select("src", "dst")), bits).distinct(), "tiles")
+    now = frontier = spark.createDataFrame([(root, first)], "vid long, level int")
+    rounds = 0
+    while True:
+        own = frontier.select(F.col("vid").alias("src"), F.shiftright("vid", bits).alias("tile_i"), "level")
+        offer = e.join(own, ["tile_i", "src"]).groupBy("tile_j", "dst").agg((F.min("level") + 1).alias("offer"))
+        best = offer.join(now, F.col("vid") == F.col("dst"), "left").groupBy("dst").agg(F.min("offer").alias("offer"), F.min("level").alias("level"))
+        frontier = stage(spark, best.where("level is null or offer < level").select(F.col("dst").alias("vid"), F.col("offer").cast("int").alias("level")), "relax")
+        if frontier.isEmpty():
+            return now.groupBy("vid").agg(F.min("level").alias("level"))
+        rounds += 1
+        now = now.unionByName(frontier)
+        if rounds % COMPACT == 0:
+            now = stage(spark, now.groupBy("vid").agg(F.min("level").alias("level")), "levels")
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 5, push: bool = False) -> DataFrame:
@@ -71,29 +118,45 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 5, push: bool
     return p.select("vid", "rank")
 
 
-def pagerank_to(vertices: DataFrame, edges: DataFrame, epsilon: float = 1e-8, most: int = 100, start: DataFrame | None = None) -> DataFrame:
-    """(vid, rank) until the summed change over vertices with out-edges is at most epsilon; start: ranks of an earlier state."""
+def pagerank_to(vertices: DataFrame, edges: DataFrame, epsilon: float = 1e-8, start: DataFrame | None = None, block: int = 5) -> DataFrame:
+    """(vid, rank) of the first round whose summed change over vertices with out-edges is at most epsilon; start: ranks of an earlier state.
+
+    `block` rounds are one plan, a chain with one shuffle of sums a round over
+    edges that are dealt once; then the change is looked at.  The block that
+    reaches epsilon is gone through again round by round.
+    """
     spark = edges.sparkSession
     e = stage(spark, edges.groupBy("src", "dst").agg(F.count("*").alias("times")), "edges")
     out = e.groupBy(F.col("src").alias("vid")).agg(F.sum("times").alias("deg"))
-    n = vertices.count()
+    n = max(vertices.count(), 1)
     v = vertices.join(out, "vid", "left").select("vid", F.coalesce("deg", F.lit(0)).alias("deg"))
-    v = stage(spark, v if start is None else v.join(start.withColumnRenamed("rank", "r0"), "vid", "left"), "degrees")
-    p = v.select("vid", "deg", (F.lit(1.0 / max(n, 1)) if start is None else F.coalesce("r0", F.lit(1.0 / max(n, 1)))).alias("rank"))
+    v = stage(spark, v if start is None else v.join(start.withColumnRenamed("rank", "r"), "vid", "left"), "degrees")
+    p = v.select("vid", "deg", (F.lit(1.0 / n) if start is None else F.coalesce("r", F.lit(1.0 / n))).alias("rank"))
     v = v.select("vid", "deg")
-    for _ in range(0, most, 5):
-        for _ in range(5):  # rounds between two looks at the change; more rounds than needed do no harm
+
+    def after(p: DataFrame, rounds: int) -> tuple[DataFrame, float]:
+        for _ in range(rounds):
+            before = p
             have = p.where("deg > 0").select(F.col("vid").alias("src"), (F.col("rank") / F.col("deg")).alias("share"))
             got = e.join(have, "src").groupBy(F.col("dst").alias("vid")).agg(F.sum(F.col("share") * F.col("times")).alias("s"))
-            new = v.join(got, "vid", "left").join(p.select("vid", F.col("rank").alias("old")), "vid")
-            new = new.select("vid", "deg", (F.lit(0.15 / max(n, 1)) + F.lit(0.85) * F.coalesce("s", F.lit(0.0))).alias("rank"), "old")
-            p = new.drop("old")
-        new = stage(spark, new, "ranks")
-        moved = new.where("deg > 0").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
-        p = new.drop("old")
+            p = v.join(got, "vid", "left").select("vid", "deg", (F.lit(0.15 / n) + F.lit(0.85) * F.coalesce("s", F.lit(0.0))).alias("rank"))
+        both = stage(spark, p.join(before.select("vid", F.col("rank").alias("old")), "vid"), "ranks")
+        moved = both.where("deg > 0").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+        return both.drop("old"), moved
+
+    last = None
+    while True:
+        new, moved = after(p, block)
         if moved <= epsilon:
             break
-    return p.select("vid", "rank")
+        if last is not None and moved >= last and moved < 1e-12:
+            raise ValueError(f"ranks in doubles don't settle to {epsilon}")
+        p, last = new, moved
+    for _ in range(block - 1):
+        p, moved = after(p, 1)
+        if moved <= epsilon:
+            return p.select("vid", "rank")
+    return new.select("vid", "rank")
 
 
 def wcc(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +27,30 @@ def pack(tid, vid):
     return F.shiftleft(tid.cast("long"), VBIT).bitwiseOR(vid)
 
 
+def unpack(sid):
+    """A packed id -> its type and its id inside it; a deleted one's mark is left out."""
+    return F.shiftright(F.abs(sid), VBIT).cast("int"), F.abs(sid).bitwiseAND((1 << VBIT) - 1)
+
+
+def deleted(sid):
+    """The packed id that says that its edge is deleted, for ids packed with type ids from 1 on or vertices from 1 on."""
+    return -sid
+
+
+def is_deleted(sid):
+    return sid < 0
+
+
+def names_of(ids: DataFrame, sids: DataFrame) -> DataFrame:
+    """(sid) -> (sid, name)."""
+    return sids.join(ids.select(pack(F.col("tid"), F.col("vid")).alias("sid"), "name"), "sid")
+
+
+def precreate(spark: SparkSession, n: int) -> DataFrame:
+    """n vertices (vid) without names."""
+    return spark.range(n).select(F.col("id").alias("vid"))
+
+
 def resolve(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(eid, src_name, dst_name) -> (eid, src, dst); rows with an unknown name are left out."""
     a = ids.select(F.col("name").alias("src_name"), F.col("vid").alias("src"))
@@ -39,9 +63,10 @@ def of_super_type(vertices: DataFrame, hierarchy: DataFrame, name: str) -> DataF
     return vertices.join(hierarchy.where(F.col("super") == name).select("tid").distinct(), "tid", "left_semi")
 
 
-def inverted(properties: DataFrame, value: str) -> DataFrame:
-    """(vid, value) -> (value, vids): the vertices of each value, in order."""
-    return properties.groupBy(value).agg(F.array_sort(F.collect_list("vid")).alias("vids"))
+def inverted(properties: DataFrame, value: str, chunk: int = 1 << 16) -> DataFrame:
+    """(vid, value) -> (value, part, vids): the vertices of each value in order, a row for each `chunk` of ids, so that a common value is many rows."""
+    part = F.floor(F.col("vid") / chunk).cast("long").alias("part")
+    return properties.groupBy(value, part).agg(F.array_sort(F.collect_list("vid")).alias("vids"))
 
 
 def property_map(properties: DataFrame) -> DataFrame:

@@ -16,6 +16,11 @@ def with_offsets(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("eid", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)).cast("long") - 1)
 
 
+def head_of(log: DataFrame) -> int:
+    """The offset after the last row's; 0 for an empty log."""
+    return log.agg(F.coalesce(F.max("eid") + 1, F.lit(0))).first()[0]
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     swap = {"src": "dst", "dst": "src"}
     return edges.select(*(F.col(swap.get(c, c)).alias(c) for c in edges.columns))
@@ -59,18 +64,33 @@ def one_to_one(log: DataFrame) -> DataFrame:
     return newest.groupBy("dst").agg(F.max_by("src", "eid").alias("src")).select("src", "dst")
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(src, degree, nbrs) with neighbours in log order.  Prefer the exploded edges where a hub may be large."""
-    return edges.groupBy("src").agg(F.count("*").alias("degree"), F.transform(F.array_sort(F.collect_list(F.struct("eid", "dst"))), lambda x: x["dst"]).alias("nbrs"))
+def adjacency(edges: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """(src, part, degree, nbrs): chunks of neighbours in log order, each of the edges of `chunk` offsets, so that a hub is many rows.
+
+    part: the chunk's first offset over `chunk`; degree: of the chunk.
+    """
+    part = F.floor(F.col("eid") / chunk).cast("long").alias("part")
+    return edges.groupBy("src", part).agg(F.count("*").alias("degree"), F.transform(F.array_sort(F.collect_list(F.struct("eid", "dst"))), lambda x: x["dst"]).alias("nbrs"))
+
+
+def explode_adjacency(lists: DataFrame) -> DataFrame:
+    """Stored adjacency -> (src, part, pos, dst), in each list's order."""
+    return lists.select("src", "part", F.posexplode("nbrs").alias("pos", "dst"))
+
+
+def evict(edges: DataFrame, lo: int) -> DataFrame:
+    """What is left when edges of offsets under lo are given up, as a window's past is."""
+    return edges.where(F.col("eid") >= lo)
 
 
-def csr(vertices: DataFrame, edges: DataFrame, ranges: int = 64) -> DataFrame:
+def csr(vertices: DataFrame, edges: DataFrame, rows_a_range: int = 1 << 20) -> DataFrame:
     """(vid, degree, start): adjacency offsets over all vertices, without one task that sorts them all.
 
     Vertices are dense from 0; a range's start comes from the sums of the ranges before it.
     """
     degree = vertices.join(edges.groupBy(F.col("src").alias("vid")).agg(F.count("*").alias("degree")), "vid", "left").fillna(0, ["degree"])
     n = (vertices.agg(F.max("vid")).first()[0] or 0) + 1
+    ranges = max(64, -(-n // rows_a_range))
     d = degree.withColumn("r", F.floor(F.col("vid") * ranges / n).cast("int"))
     sums = d.groupBy("r").agg(F.sum("degree").alias("s"))
     starts = sums.select("r", F.coalesce(F.sum("s").over(W.partitionBy(F.lit(0)).orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # `ranges` rows

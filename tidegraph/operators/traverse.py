@@ -18,6 +18,19 @@ def hops(seeds: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     return now
 
 
+def hop2_totals(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, paths, total): two-hop paths of each seed (vid) and the sum of their ends, without building the paths: ends are summed per middle vertex first."""
+    out = edges.groupBy(F.col("src").alias("mid")).agg(F.count("*").alias("n"), F.sum("dst").alias("s"))
+    first = edges.join(seeds.select(F.col("vid").alias("src")).distinct(), "src", "left_semi").groupBy(F.col("src").alias("root"), F.col("dst").alias("mid")).agg(F.count("*").alias("times"))
+    return first.join(out, "mid").groupBy("root").agg(F.sum(F.col("times") * F.col("n")).alias("paths"), F.sum(F.col("times") * F.col("s")).alias("total"))
+
+
+def seeds(vertices: DataFrame, edges: DataFrame, n: int, salt: int = 0) -> DataFrame:
+    """The `n` vertices with out-edges that come first by a fixed mixing of their ids: as good as random, the same in each run."""
+    mixed = (F.col("vid") * 7919 + salt) % 1000003
+    return vertices.join(edges.select(F.col("src").alias("vid")), "vid", "left_semi").orderBy(mixed, "vid").limit(n)
+
+
 def transform(bound: DataFrame, edges: DataFrame, down: bool = True) -> DataFrame:
     """A triple pattern with one end bound: (vid) -> distinct (vid) at the other end.
 

@@ -85,7 +85,7 @@ def changed_vertices(t):
 
 @query("snapshots", f"with {N_SQL} select (row_number() over (order by marker) - 1)::bigint as snap_id, marker from (select {BATCH} * k as marker from n, range(1, (select head from n) // {BATCH} + 1) r(k) where {BATCH} * k < head union select head from n)")
 def snapshots(t):
-    return t.spark.createDataFrame(views.snapshots(t.head(), BATCH), "snap_id long, marker long")
+    return views.snapshots(t.spark, t.head(), BATCH)
 
 
 @query("live_edges", f"with {D_SQL}, s as (select *, sum(op) over (partition by src, dst order by eid) as r from d) select eid, src, dst from s a where op = 1 and not exists (select 1 from s b where b.src = a.src and b.dst = a.dst and b.eid > a.eid and b.r < a.r)")
@@ -123,15 +123,15 @@ def edge_tiles(t):
     return edges.tiles(t.log(), 8).groupBy("tile_i", "tile_j").agg(F.count("*").alias("n"))
 
 
-@query("adjacency", W + "select src, count(*) as degree, string_agg(dst::varchar, ',' order by eid) as nbrs from e group by src")
+@query("adjacency", W + "select src, eid // 4096 as part, count(*) as degree, string_agg(dst::varchar, ',' order by eid) as nbrs from e group by all")
 def adjacency(t):
-    return edges.adjacency(t.log()).select("src", "degree", F.array_join("nbrs", ",").alias("nbrs"))
+    return edges.adjacency(t.log(), 4096).select("src", "part", "degree", F.array_join("nbrs", ",").alias("nbrs"))
 
 
-@query("adjacency_dump", W + "select src, 'out' as side, string_agg(dst::varchar, ' ' order by eid) as nbrs from e group by src union all select dst, 'in', string_agg(src::varchar, ' ' order by eid) from e group by dst")
+@query("adjacency_dump", W + "select src, 'out' as side, eid // 65536 as part, string_agg(dst::varchar, ' ' order by eid) as nbrs from e group by all union all select dst, 'in', eid // 65536, string_agg(src::varchar, ' ' order by eid) from e group by all")
 def adjacency_dump(t):
     out, into = edges.adjacency(t.log()), edges.adjacency(edges.reverse(t.log().select(*COLS)))
-    return out.withColumn("side", F.lit("out")).unionByName(into.withColumn("side", F.lit("in"))).select("src", "side", F.array_join("nbrs", " ").alias("nbrs"))
+    return out.withColumn("side", F.lit("out")).unionByName(into.withColumn("side", F.lit("in"))).select("src", "side", "part", F.array_join("nbrs", " ").alias("nbrs"))
 
 
 @query("csr_offsets", f"with {E_SQL}, g as (select c_custkey as vid, count(src) as degree from customer left join e on src = c_custkey group by c_custkey) select vid, degree, coalesce(sum(degree) over (order by vid rows between unbounded preceding and 1 preceding), 0)::bigint as start from g")
@@ -161,8 +161,7 @@ def degree_in(t):
 
 @query("degree_at_snapshot", W + f"select c_custkey as vid, count(src) as degree from customer left join (select src from e where eid < 3 * {BATCH}) on src = c_custkey group by 1")
 def degree_at_snapshot(t):
-    marks = dict(views.snapshots(t.head(), BATCH))
-    return view(t).at(marks[min(2, max(marks))]).degrees()
+    return view(t).at(views.marker_of(2, t.head(), BATCH)).degrees()
 
 
 @query("degree_live", f"with {D_SQL}, s as (select *, sum(op) over (partition by src, dst order by eid) as r from d), w as (select *, r - least(0, min(r) over (partition by src, dst order by eid)) as h from s), m as (select src, dst, arg_max(h, eid) as c from w group by src, dst) select src as vid, sum(c)::bigint as degree from m group by src having sum(c) > 0")
@@ -225,16 +224,12 @@ def hop1_sum(t):
 
 @query("hop2", W + "select a.src as root, count(*) as paths, sum(b.dst)::bigint as total from e a join e b on a.dst = b.src group by 1")
 def hop2(t):
-    return traverse.hops(t.vertices(), t.log(), 2).groupBy("root").agg(F.count("*").alias("paths"), F.sum("vid").alias("total"))
+    return traverse.hop2_totals(t.vertices(), t.log())
 
 
 @query("hop2_sum", W + "select sum(b.dst)::bigint as total from e a join e b on a.dst = b.src")
 def hop2_sum(t):
-    # paths per middle vertex, so the bag of paths is never built
-    e = t.log()
-    into = e.groupBy(F.col("dst").alias("mid")).agg(F.count("*").alias("n"))
-    out = e.groupBy(F.col("src").alias("mid")).agg(F.sum("dst").alias("s"))
-    return into.join(out, "mid").agg(F.sum(F.col("n") * F.col("s")).alias("total"))
+    return traverse.hop2_totals(t.vertices(), t.log()).agg(F.sum("total").alias("total"))
 
 
 @query("hop2_distinct", W + "select distinct a.src as root, b.dst as vid from e a join e b on a.dst = b.src")

@@ -5,7 +5,7 @@ graph; a post is an order by its customer, a comment is an event by its user tha
 replies to order event_id * 13 % orders; a post's tags are the brands of its
 lines' parts, a tag's class is the part's type; a country is a nation; a forum is
 a supplier, its members the customers that bought from it, since the first ship
-date; a like is a `click` event on that same order; a person works at supplier
+date; every fourth comment (event_id % 4 = 1) also replies to comment event_id // 3; a like is a `click` event on that same order; a person works at supplier
 c_custkey % suppliers since 1990 + c_custkey % 30; interests are brands bought.
 The person asked about is customer 10.
 """
@@ -70,7 +70,7 @@ MESSAGES = "messages as (select 'post' as kind, msg, creator, ts from posts unio
 
 @query("ic1", WITH("h3 as (select dst as p, 3 as dist from ff join k on src = p union all select p, 2 from ff union all select p, 1 from f), near as (select p, min(dist) as dist from h3 where p <> 10 group by p)") + "select p, dist::int as dist, c_mktsegment as segment, c_name as name from near join customer on c_custkey = p where starts_with(c_mktsegment, 'BUILD') order by dist, name, p limit 20")
 def ic1(t):
-    levels = algorithms.bfs(t.knows(), ME, first=0, most=3).where("level > 0")
+    levels = algorithms.bfs(t.knows(), ME, first=0, depth=3).where("level > 0")
     c = t.customer.where(F.col("c_mktsegment").startswith("BUILD"))
     return levels.join(c, F.col("vid") == F.col("c_custkey")).select(F.col("vid").alias("p"), F.col("level").alias("dist"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name")).orderBy("dist", "name", "p").limit(20)
 
@@ -129,10 +129,15 @@ def ic7(t):
     return d.select("liker", "like_id", F.col("at").alias("ts"), F.coalesce("is_friend", F.lit(False)).alias("is_friend"), F.date_diff("at", "ts").alias("latency_days")).orderBy(F.desc("ts"), "like_id").limit(20)
 
 
-@query("ic8", WITH(POSTS, COMMENTS) + "select msg as reply, creator, ts from comments where reply_of in (select msg from posts where creator = 10) order by ts desc, reply limit 20")
+@query("ic8", WITH(POSTS, COMMENTS) + "select msg as reply, creator, ts from comments where reply_of in (select msg from posts where creator = 10) or (msg % 4 = 1 and msg // 3 in (select msg from comments where creator = 10)) order by ts desc, reply limit 20")
 def ic8(t):
-    mine = posts(t).where(F.col("creator") == ME).select(F.col("msg").alias("reply_of"))
-    return comments(t).join(mine, "reply_of", "left_semi").select(F.col("msg").alias("reply"), "creator", "ts").orderBy(F.desc("ts"), "reply").limit(20)
+    """Replies to posts and to comments; a reply to both counts once."""
+    c = comments(t)
+    to_posts = c.join(posts(t).where(F.col("creator") == ME).select(F.col("msg").alias("reply_of")), "reply_of", "left_semi")
+    own = c.where(F.col("creator") == ME).select(F.col("msg").alias("parent"))
+    to_comments = c.where("msg % 4 = 1").withColumn("parent", F.floor(F.col("msg") / 3)).join(own, "parent", "left_semi")
+    columns = [F.col("msg").alias("reply"), "creator", "ts"]
+    return to_posts.select(*columns).union(to_comments.select(*columns)).distinct().orderBy(F.desc("ts"), "reply").limit(20)
 
 
 @query("ic9", WITH(POSTS, COMMENTS, MESSAGES) + "select kind, msg, creator, ts from messages where creator in (select p from ff) and ts < timestamp '2024-01-10' order by ts desc, msg, kind limit 20")
@@ -174,6 +179,14 @@ def ic13(t):
     return algorithms.bfs(t.knows(), ME, first=0, target=77).where("vid = 77").agg(F.min("level").alias("length"))
 
 
+@query(
+    "ic13_path",
+    f"with recursive {K_SQL}, r as (select {ME}::bigint as vid, 0 as level union select k.dst, r.level + 1 from r join k on k.src = r.vid where r.level < 12), l as (select vid, min(level) as level from r group by vid), p as (select vid, level from l where vid = 77 union all select (select min(l.vid) from l join k on k.src = l.vid and k.dst = p.vid where l.level = p.level - 1), p.level - 1 from p where p.level > 0) select level::int as step, vid from p",
+)
+def ic13_path(t):
+    return algorithms.shortest_path(t.knows(), ME, 77)
+
+
 @query("type_list", "select c_name as name from customer where c_mktsegment = 'MACHINERY'")
 def type_list(t):
     return t.customer.where("c_mktsegment = 'MACHINERY'").select(F.col("c_name").alias("name"))

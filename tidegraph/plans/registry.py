@@ -24,4 +24,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from tidegraph.plans import graph_queries, network_queries, source_queries  # noqa: E402, F401
+from tidegraph.plans import graph_queries, network_queries, source_queries, store_queries  # noqa: E402, F401

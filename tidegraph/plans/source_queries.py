@@ -36,9 +36,9 @@ def src_triples(t):
 
 @query("src_binary_edges", f"with {E_SQL} select src, dst, count(*) as n from e group by all")
 def src_binary_edges(t):
-    """Packs the log into little-endian records, a file for each of eight parts, and reads them back."""
+    """Packs the log into little-endian records, a file for each 4096, and reads them back."""
     pad = lambda c: F.concat(*(F.substring(F.lpad(F.hex(F.col(c)), 16, "0"), 2 * k + 1, 2) for k in range(7, -1, -1)))
-    records = t.log().select((F.col("eid") % 8).alias("part"), F.unhex(F.concat(pad("src"), pad("dst"))).alias("r"))
+    records = t.log().select(F.floor(F.col("eid") / 4096).alias("part"), F.unhex(F.concat(pad("src"), pad("dst"))).alias("r"))
     files = records.groupBy("part").agg(F.unhex(F.concat_ws("", F.transform(F.collect_list("r"), lambda x: F.hex(x)))).alias("content"))
     return readers.unpack(files.select("content")).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -85,10 +85,10 @@ def prop_cast(t):
     return text.select("eid", use("time", F.col("a")).alias("at"), use("double", F.col("b")).alias("price"), use("int64", F.col("c")).alias("vid"), use("hex", F.col("d")).alias("hexed"))
 
 
-@query("props_inverted_index", "select c_mktsegment as value, count(*) as n, string_agg(c_custkey::varchar, ',' order by c_custkey) as vids from customer group by 1")
+@query("props_inverted_index", "select c_mktsegment as value, c_custkey // 256 as part, count(*) as n, string_agg(c_custkey::varchar, ',' order by c_custkey) as vids from customer group by all")
 def props_inverted_index(t):
     d = t.customer.select(F.col("c_custkey").alias("vid"), F.col("c_mktsegment").alias("value"))
-    return dictionary.inverted(d, "value").select("value", F.size("vids").cast("long").alias("n"), F.array_join("vids", ",").alias("vids"))
+    return dictionary.inverted(d, "value", 256).select("value", "part", F.size("vids").cast("long").alias("n"), F.array_join("vids", ",").alias("vids"))
 
 
 @query("props_map", "select o_custkey as vid, arg_max(o_orderstatus, o_orderkey) as status, arg_max(o_orderpriority, o_orderkey) as priority from orders group by 1")

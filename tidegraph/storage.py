@@ -19,6 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or FALLBACK_DIR).rstrip("/")
 
 
+def folder(spark: SparkSession, path: str, leave: bool = True, now: bool = False) -> bool:
+    """Whether a folder is there; unless it is to be left, it goes when the session ends, or now."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(sc.hadoopConfiguration())
+    if now:
+        files.delete(place, True)
+    elif not leave:
+        files.deleteOnExit(place)
+    return files.exists(place)
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back; the files go when the session ends.
 
@@ -27,12 +39,10 @@ def stage(spark: SparkSession, df: DataFrame, name: str, tidy: bool = False) ->
     """
     path = f"{shared_dir(spark)}/tidegraph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc.hadoopConfiguration()).deleteOnExit(place)
+    folder(spark, path, leave=False)
     schema = df.schema
     if tidy:
         del df
         gc.collect()
-        jvm.System.gc()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
