@@ -14,7 +14,7 @@ WORDS, SIMILARITY = 5, (4, 5)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; a null doc_id is judged by its text like others."""
+    """Documents that the classifier rejects go; a null doc_id is judged by its text like others, null and empty texts stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs.select(*COLUMNS), model)
 
@@ -42,11 +42,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole, and once more in part where the sample ends in it."""
+    """Each document as often as the mix takes it whole, and once more in part where the sample ends in it; a null source is one of its own."""
     return mixing.mixed_rows(docs.select(*COLUMNS), queries.quality_weights(spark, sf_dir))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens, a row per piece; null and empty texts are their end token, repeated rows are packed as often."""
     return packing.pack(docs, queries.default_encoder())
 
 
@@ -56,6 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole `documents` table, each staged but the last; an empty table goes through all of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
