@@ -115,3 +115,16 @@ def test_near_copies_of_equal_ids(spark):
     df = spark.createDataFrame([(5, x, "en", "s", 0), (5, y + " more", "en", "s", 0), (3, y, "en", "s", 0), (7, z, "en", "s", 0), (7, x + " end", "en", "s", 0), (9, y, "en", "s", 0), (9, " ".join(f"q{k}" for k in range(60)), "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {(r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_copies(spark, df, SF).collect()}
     assert got == {(5, "x"), (3, "y"), (7, "z"), (9, "q")}
+
+
+def test_stages_of_an_empty_table_and_of_nulls(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    odd = [(None, None, None, None, None), (1, "", "en", None, 0), (1, None, "en", "s", None), (2, "one two three four five six", None, "s", 27), (2, "one two three four five six", None, "s", 27)]
+    for rows, left in (([], 0), (odd, 1)):
+        docs = spark.createDataFrame(rows, schema)
+        for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, str(tmp_path))
+            if k < 4:
+                docs = spark.createDataFrame(out.collect(), schema)
+            assert (out.count() > 0) == (left > 0)

@@ -1,11 +1,11 @@
 """Chat formatting by event-sourced reconstruction.
 
-A conversation is a log of events.  The log is dealt by conversation and sorted
-by sequence; folding it gives the final messages: a `message` event opens a turn,
-a `delta` appends to the newest turn, an `edit` replaces the text of the turn it
-names and a `regenerate` drops that turn and all after it.  Messages are then
-rendered one turn at a time, so a task holds one event and, where edits are in
-play, one conversation's texts.
+A conversation is a log of events: a `message` opens a turn, a `delta` appends to
+the newest turn, an `edit` replaces the text of the turn it names, and a
+`regenerate` drops that turn and all with higher numbers.  The log is dealt by
+conversation and sorted by sequence, the newest event first, so that a turn is
+final when its message is met: what came later is known by then.  Folding thus
+streams, holding the deltas of one turn and the edits still to be applied.
 
 Template, per turn:  \\n### Role: text </turn>
 Inside a text each backslash gets one more, as does each `#` or `<` that could
@@ -16,6 +16,7 @@ text back.  The loss mask covers exactly the text of assistant turns.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 OPEN, MID, CLOSE = "### ", ": ", " </turn>\n"
 _RISKY = re.compile(r"\\|#|<|:")
 _ESCAPED = re.compile(r"\\(.)", re.S)
-#: Events of a log; a table without an `event` column holds messages only.
-EVENTS = ("message", "delta", "edit", "regenerate")
 
 
 def escape(text: str) -> str:
@@ -72,22 +71,61 @@ def _slashes(s: str, at: int) -> int:
     return n
 
 
-def fold(events: Iterable[tuple[str, int | None, str, str]]) -> list[tuple[int | None, str, str]]:
-    """Events (event, turn, role, text) in order -> final (turn, role, text)."""
-    done: list[tuple[int | None, str, str]] = []
-    for event, turn, role, text in events:
-        if event == "message":
-            done.append((turn, role, text))
-        elif event == "delta" and done:
-            done[-1] = (done[-1][0], done[-1][1], done[-1][2] + text)
-        elif event == "edit":
-            done = [(t, r, text if t == turn else old) for t, r, old in done]
-        elif event == "regenerate":
-            at = next((k for k, d in enumerate(done) if d[0] == turn), len(done))
-            done = done[:at]
-        else:
-            done.append((turn, role, text))  # a delta with nothing before it opens a turn
-    return done
+Event = tuple[str, int | None, str, str]
+
+
+class _Turn:
+    """One turn's text while later events, in order, go over it."""
+
+    def __init__(self, turn: int | None, role: str, text: str):
+        self.turn, self.role, self.pieces, self.alive = turn, role, [text], True
+
+    def takes(self, event: str, turn: int | None, text: str) -> None:
+        if event == "delta":
+            self.pieces.append(text)
+        elif event == "edit" and turn == self.turn:
+            self.pieces = [text]
+        elif event == "regenerate" and turn is not None and self.turn is not None and turn <= self.turn:
+            self.alive = False
+
+
+def fold(events: Iterable[Event]) -> Iterator[tuple[int | None, str, str]]:
+    """Events (event, turn, role, text) from the newest to the oldest -> final (turn, role, text), the newest first.
+
+    A delta with no turn before it opens one.  Edits and regenerations of turns
+    that aren't there do nothing; a turn without a number is never dropped.
+    """
+    later: list[Event] = []  # since the last final turn, the newest first
+    edits: dict[int | None, str] = {}  # of what came after that, the newest of each turn
+    least: int | None = None
+
+    def settle(event: Event) -> tuple[int | None, str, str] | None:
+        nonlocal later, least
+        own = _Turn(event[1], event[2], event[3])
+        gone = least is not None and own.turn is not None and own.turn >= least
+        newest = edits.get(own.turn)
+        for k in range(len(later) - 1, -1, -1):
+            own.takes(later[k][0], later[k][1], later[k][3])
+            if not own.alive:  # its deltas are gone, newer ones go to an older turn
+                later = later[: k + 1] + [x for x in later[k + 1 :] if x[0] != "delta"]
+                return None
+        for kind, turn, _, text in later:
+            if kind == "edit":
+                edits.setdefault(turn, text)
+            elif kind == "regenerate" and turn is not None:
+                least = turn if least is None else min(least, turn)
+        later = []
+        return None if gone else (own.turn, own.role, "".join(own.pieces) if newest is None else newest)
+
+    for e in events:
+        if e[0] in ("delta", "edit", "regenerate"):
+            later.append(e)
+        elif (done := settle(e)) is not None:
+            yield done
+    while (k := next((k for k in range(len(later) - 1, -1, -1) if later[k][0] == "delta"), None)) is not None:
+        first, later = later[k], later[:k]
+        if (done := settle(first)) is not None:
+            yield done
 
 
 def turns(log: DataFrame) -> DataFrame:
@@ -96,43 +134,34 @@ def turns(log: DataFrame) -> DataFrame:
     Without `event` each row is a message, in order of turn; with it rows go by
     `seq`.  Ties go by role and then text; repeated rows are turns of their own.
     Null text or role: empty.  Null turns come first.  Rows with a null conv_id
-    make one conversation, null.
+    make one conversation, null; a null event is a message.  `at` orders a
+    conversation's turns, the last has -1.
     """
     events = "event" in log.columns
     d = log.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce("event", F.lit("message")).alias("event") if events else F.lit("message").alias("event"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("event").cast("string"), F.lit("message")).alias("event") if events else F.lit("message").alias("event"),
         F.col("seq" if events else "turn").cast("long").alias("seq"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, at, held = object(), 0, []
         out: list[tuple] = []
-
-        def close() -> None:
-            nonlocal at, held
-            for t, role, text in fold(held) if events else held:
-                out.append((now, at, role, *render_turn(role, text)))
-                at += 1
-            held = []
-
-        for b in batches:
-            for conv, event, _, turn, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if conv != now:
-                    close()
-                    now, at = conv, 0
-                if events:
-                    held.append((event, turn, role, text))
-                else:
-                    held = [(turn, role, text)]
-                    close()
-            if out:
-                yield _turn_batch(out)
-                out.clear()
-        close()
+        size = 0
+        for conv, own in itertools.groupby(rows(batches), key=lambda r: r[0]):
+            for at, (_, role, text) in enumerate(fold((event, turn, role, text) for _, event, _, turn, role, text in own)):
+                out.append((conv, -1 - at, role, *render_turn(role, text)))
+                size += len(text)
+                if len(out) >= 5000 or size >= 1 << 22:
+                    yield _turn_batch(out)
+                    out, size = [], 0
         if out:
             yield _turn_batch(out)
 
-    return d.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "turn", "role", "text").mapInArrow(run, "conv_id long, at long, role string, output string, loss_start int, loss_end int")
+    newest = [F.col(c).desc_nulls_last() for c in ("seq", "turn", "role", "text")]
+    return d.repartition("conv_id").sortWithinPartitions("conv_id", *newest).mapInArrow(run, "conv_id long, at long, role string, output string, loss_start int, loss_end int")
 
 
 def _turn_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -9,8 +9,8 @@ For pages without one, the host decides: the pages' open blocks and the noise of
 the host's other pages are laid out as one stream per host, strings of at least
 `repeat_bytes` bytes that start in streams of two pages are found
 with the suffix arrays of suffix.py (equal runs counted together, so a host with
-a third of all pages is no single task), blocks that they cover are removed, and
-the unique runs stay.
+a third of all pages is no single task), what they cover is removed, and the
+unique runs stay.
 """
 
 from __future__ import annotations
@@ -39,6 +39,12 @@ NOISE_WORDS = frozenset(
     "share sharing social related recommended recommendations newsletter subscribe subscription signup popup modal overlay widget pager pagination toolbar "
     "copyright login search skip contentinfo complementary topbar dialog legal disclaimer".split()
 )
+#: Words that begin or end a class, or are an id, of what isn't the article though inside it.
+INSIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent sidebar breadcrumb breadcrumbs menu navbar "
+    "comment comments commentlist reply replies respond disqus share sharing social related recommended newsletter subscribe popup modal pager pagination".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Pairs of such words mark the article where there is no element for it.
 MAIN_WORDS = frozenset("article articlebody".split())
 MAIN_OF, MAIN_PART = frozenset("entry post story main page".split()), frozenset("content body text".split())
@@ -49,16 +55,23 @@ _SPACE = re.compile(r"\s+")
 
 
 def _noisy(name: str, attrs: str, inside: bool) -> bool:
+    """Whether attributes say that an element isn't the article; inside it only plain names of parts do, and none of headings."""
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id", "role"):
-            words = set(_WORDS.findall(value))
-            if name in ("article", "main") and key != "role":
-                words &= {"comment", "comments", "reply", "advert", "ad", "sponsored", "related"}
-            if words & NOISE_WORDS or not inside and "header" in words:
+        if key not in ("class", "id", "role"):
+            continue
+        if inside:
+            own = [_WORDS.findall(c) for c in value.split()]
+            if name not in HEADINGS and any(c and (c[0] in INSIDE_WORDS or c[-1] in INSIDE_WORDS) and (key != "id" or len(c) == 1) for c in own):
                 return True
+            continue
+        words = set(_WORDS.findall(value))
+        if name in ("article", "main") and key != "role":
+            words &= {"comment", "comments", "reply", "advert", "ad", "sponsored", "related"}
+        if words & NOISE_WORDS or "header" in words:
+            return True
     return False
 
 
@@ -153,9 +166,8 @@ def extract(pages: DataFrame, repeat_bytes: int = 48) -> DataFrame:
 
     Blocks are joined in page order by two newlines.  Null or empty html and
     pages of markup only give an empty text.  A null or odd url is the host "".
-    Null and repeated page_ids are kept, one row per row.  A block in an open
-    zone goes if what the host repeats covers half of it or more, and stays as it
-    is otherwise, so no block is cut.
+    Null and repeated page_ids are kept, one row per row.  Blocks in an open
+    zone lose what the host repeats, see unique_runs.
     """
     spark = pages.sparkSession
 
@@ -202,17 +214,36 @@ def extract(pages: DataFrame, repeat_bytes: int = 48) -> DataFrame:
 
 
 def unique_runs(free: list[str], spans: list[tuple[int, int]], length: int) -> list[str]:
-    """Open blocks (laid end to end, a newline between) of which repeated windows cover less than half."""
+    """Open blocks (laid end to end, a newline between) without what repeated windows of `length` bytes cover.
+
+    A block that is covered whole goes; of another, covered runs of `length`
+    bytes or more go, up to whole words, so that a line repeated before a block
+    doesn't take its first words along.
+    """
     data = [t.encode("utf-8", "surrogatepass") for t in free]
-    covered = np.zeros(sum(map(len, data)) + len(data), bool)
+    runs = []
     if spans:
         at = np.array(spans, np.int64)
-        for s, e in zip(*removed_runs(at[:, 0], at[:, 1], length), strict=True):
-            covered[s:e] = True
-    out, at = [], 0
+        runs = list(zip(*(x.tolist() for x in removed_runs(at[:, 0], at[:, 1], length)), strict=True))
+    out, begin = [], 0
     for d in data:
-        own = covered[at : at + len(d)]
-        at += len(d) + 1
-        if own.sum() * 2 < len(d):
-            out.append(d.decode("utf-8", "surrogatepass"))
+        end = begin + len(d)
+        own = [(max(s, begin) - begin, min(e, end) - begin) for s, e in runs if s < end and e > begin]
+        begin = end + 1
+        if own == [(0, len(d))]:
+            continue
+        kept, last = [], 0
+        for s, e in own:
+            if e - s < length:
+                continue
+            if s and d[s - 1 : s] != b" ":
+                s = d.find(b" ", s, e) + 1 or e
+            if e < len(d) and d[e : e + 1] != b" ":
+                e = d.rfind(b" ", s, e) + 1
+            if s < e:
+                kept.append(d[last:s])
+                last = e
+        text = _SPACE.sub(" ", b"".join([*kept, d[last:]]).decode("utf-8", "surrogatepass")).strip()
+        if text:
+            out.append(text)
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import chat, html_text, mixing, packing, prefix_hash, resharding, simhash, suffix, topk, toxicity
+from tidegraph.storage import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +70,28 @@ def op10_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.pair_fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_topk, op4_chat, op5_resharding, op6_mixing, op7_suffix_dedup, op8_toxicity, op9_html, op10_prefix_hash)}
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op5's result what SQL can say: each document's size and the law, and whether its shard's bytes are within two per cent of an eighth."""
+    d = op5_resharding(spark, sf_dir).select("doc_id", "size", "law", "shard")
+    d = stage(spark, d, "shards")
+    share = (d.agg(F.sum("size")).first()[0] or 0) / resharding.SHARDS
+    even = d.groupBy("shard").agg((F.abs(F.sum("size") - share) <= 0.02 * share).alias("even"))
+    return d.join(F.broadcast(even), "shard").select("doc_id", "size", "law", "even")  # a row for each shard
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10's result what SQL can say."""
+    return op10_prefix_hash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_topk, op4_chat, op5_resharding, op6_mixing, op7_suffix_dedup, op8_toxicity, op9_html, op10_prefix_hash, shard_sizes, edited_texts)}
 
 ORACLES = {
+    "shard_sizes": "select doc_id, strlen(coalesce(text, '')) + 1 as size, 'bytes' as law, true as even from documents",
+    "edited_texts": """
+with d as (select doc_id, coalesce(text, '') as text from documents),
+n as (select *, coalesce(lead(text) over (order by doc_id), first(text) over (order by doc_id)) as after from d)
+select doc_id, length(text) as n_chars, sha256(substr(text, 1, length(text) - length(text) // 2) || substr(after, 1, length(text) // 2)) as edited_sha256 from n""",
     "op4_chat": r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

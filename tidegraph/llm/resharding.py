@@ -104,10 +104,15 @@ def old_layout(d: DataFrame, shards: int = SHARDS) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(shards)).cast("int")
 
 
-def _placed(docs: DataFrame, old_shard: Column | None, shards: int, split_share: float, buckets: int, keep: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs with `keep`, size, h, old_shard and unit; and the units' new shards (u, shard)."""
+def _placed(docs: DataFrame, old_shard: Column | None, shards: int, split_share: float, buckets: int, keep: list[Column], staged: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs with `keep`, size, h, old_shard and unit; and the units' new shards (u, shard).
+
+    staged: these rows are written once, so that the texts are read once.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("h"), (old_shard if old_shard is not None else old_layout(docs, shards)).alias("old_shard"), *keep)
+    if staged:
+        d = stage(docs.sparkSession, d, "rows")
     groups = d.groupBy("h", "size").agg(F.sum("size").alias("bytes"))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     share = max(1, int(total * split_share / shards))
@@ -139,7 +144,7 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHAR
     not used.
     """
     crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("text_crc32")
-    d, moves = _placed(docs, old_shard, shards, split_share, buckets, [crc])
+    d, moves = _placed(docs, old_shard, shards, split_share, buckets, [crc], True)
     d = d.join(moves, F.col("unit") == F.col("u")).drop("u")
     d = d.withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 32)))
     d = _prefixed(d, "shard", ["place", "doc_id", "h", "size"], F.lit(1), "slot", buckets)
@@ -153,7 +158,7 @@ def rewrite(docs: DataFrame, path: str, old_shard: Column | None = None, shards:
     and repeated doc_ids included, with the columns it had.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    d, moves = _placed(docs, old_shard, shards, split_share, buckets, [row])
+    d, moves = _placed(docs, old_shard, shards, split_share, buckets, [row], False)
     whence = d.select("unit", "old_shard").distinct().join(moves, F.col("unit") == F.col("u"))
     went = whence.where("shard <> old_shard").select("shard", "old_shard").distinct().collect()  # at most a row for each pair of shards
     changed = sorted({k for r in went for k in r})

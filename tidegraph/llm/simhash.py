@@ -9,10 +9,12 @@ partition i gets its own threshold t_i (-1: not probed) by dynamic programming
 over candidate counts taken from all fingerprints; sum(t_i + 1) > max_distance,
 so two fingerprints that link differ by at most t_i bits in some partition i.
 Keys of all fingerprints within t_i of a partition's value meet in a bucket.
-A bucket with more fingerprints than `bucket_limit` is dealt out again on the
-other bits by the same principle (at most max_distance + 1 exact parts), so hot
-values end in small buckets without losing a link.  Within a bucket candidates
-are verified against the whole fingerprint and only a spanning forest leaves.
+A bucket with more fingerprints than `bucket_limit` is dealt out again on other
+cuts of all bits by the same principle (at most max_distance + 1 exact parts), so
+hot values end in small buckets without losing a link; what is still large after
+`depth` times is a group of close fingerprints, and compared by balls around
+centres.  Within a bucket candidates are verified against the whole fingerprint
+and only a spanning forest leaves.
 
 `near_texts` is the same search over longer fingerprints for a Jaccard similarity
 of word shingles.  The pigeonhole's certainty would compare nearly all pairs at
@@ -233,66 +235,44 @@ def _spread(rows: DataFrame, lanes: int, parts: list[tuple[list[int], int]], sal
     return rows.mapInArrow(run, "key long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _forest(key: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by key -> (row, root) for rows linked to another of their key; a row is linked to the first of its kind there."""
+def _close_pairs(key: np.ndarray, prints: np.ndarray, distance: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by key -> pairs (x, y, their distance) of rows of one key within the distance: all of them, or of a key with over `limit` rows as many as connect the same."""
     n = len(key)
-    parent = np.arange(n)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, n))
     lanes = [np.ascontiguousarray(prints[:, k]) for k in range(prints.shape[1])]
-    at, d = np.arange(n), 1
+    at, d = np.flatnonzero(np.repeat(sizes <= limit, sizes)), 1
+    found = [(np.empty(0, np.int64),) * 3]
     while True:
         at = at[at + d < n]
         at = at[key[at] == key[at + d]]
         if not len(at):
             break
-        a, far = at, np.zeros(len(at), np.int16)
+        a, far = at, np.zeros(len(at), np.int64)
         for lane in lanes:  # a pair goes as soon as its bits so far differ too much
             far = far + np.bitwise_count(lane[a] ^ lane[a + d])
             near = far <= distance
             a, far = a[near], far[near]
-        if len(a):
-            b = a + d
-            fresh = parent[a] != parent[b]
-            for x, y in zip(a[fresh].tolist(), b[fresh].tolist(), strict=True):
-                while parent[x] != x:
-                    x = parent[x]
-                while parent[y] != y:
-                    y = parent[y]
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-            while True:
-                up = parent[parent]
-                if (up == parent).all():
-                    break
-                parent = up
+        found.append((a, a + d, far))
         d += 1
-    moved = np.flatnonzero(parent != np.arange(n))
-    return moved, parent[moved]
+    for k in np.flatnonzero(sizes > limit).tolist():
+        x, y, w = _ball_pairs(prints[starts[k] : starts[k] + sizes[k]], distance)
+        found.append((x + starts[k], y + starts[k], w))
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
 
 
-def _links(buckets: DataFrame, lanes: int, distance: int) -> DataFrame:
+def _links(buckets: DataFrame, lanes: int, distance: int, limit: int) -> DataFrame:
     """Verified links (u, v: fingerprints in hex) that span each bucket's linked sets."""
 
     def hexed(prints: np.ndarray) -> list[str]:
         return [x.hex() for x in np.ascontiguousarray(prints.astype(">u8")).view(f"V{8 * lanes}").reshape(-1).tolist()]
 
-    def work(key: np.ndarray, prints: np.ndarray) -> pa.RecordBatch | None:
-        row, root = _forest(key, prints, distance)
-        if not len(row):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(hexed(prints[row])), pa.array(hexed(prints[root]))], ["u", "v"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, prints = np.empty(0, np.int64), np.empty((0, lanes), np.uint64)
-        for b in batches:
-            key = np.concatenate([key, b.column(0).to_numpy(zero_copy_only=False)])
-            prints = np.concatenate([prints, _columns(b, lanes)])
-            cut = np.searchsorted(key, key[-1]) if len(key) else 0  # the last key may go on in the next batch
-            if cut:
-                if (out := work(key[:cut], prints[:cut])) is not None:
-                    yield out
-                key, prints = key[cut:], prints[cut:]
-        if len(key) and (out := work(key, prints)) is not None:
-            yield out
+        for key, *words in _by_key(batches):
+            prints = np.stack(words, axis=1).view(np.uint64)
+            x, y = _closest(len(key), *_close_pairs(key, prints, distance, limit))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(hexed(prints[y])), pa.array(hexed(prints[x]))], ["u", "v"])
 
     return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u string, v string")
 
@@ -313,14 +293,14 @@ def links(nodes: DataFrame, lanes: int = 1, max_distance: int = 3, width: int =
         heavy = stage(spark, heavy, "heavy")
         if heavy.isEmpty():
             break
-        light = _links(rows.join(heavy, "key", "left_anti"), lanes, max_distance)
+        light = _links(rows.join(heavy, "key", "left_anti"), lanes, max_distance, bucket_limit)
         found = light if found is None else found.union(light)
         # other cuts of all bits each time: one of max_distance + 1 parts is equal in both ends of a link
         order = np.random.default_rng(level + 1).permutation(64 * lanes).tolist()
         size = -(-len(order) // (max_distance + 1))
         parts = [(sorted(order[k : k + size]), 0) for k in range(0, len(order), size)]
         rows = _spread(rows.join(heavy, "key", "left_semi"), lanes, parts, level + 1)
-    last = _links(rows, lanes, max_distance)
+    last = _links(rows, lanes, max_distance, bucket_limit)
     return last if found is None else found.union(last)
 
 
@@ -559,28 +539,11 @@ def _near(keys: DataFrame, distance: int, limit: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, t0, t1, a, b in _by_key(batches):
-            two = np.stack([a, b], axis=1).view(np.uint64)
-            n = len(key)
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.empty(0, np.int64)
-            sizes = np.diff(np.append(starts, n))
-            at, d, found = np.flatnonzero(np.repeat(sizes <= limit, sizes)), 1, []
-            while True:
-                at = at[at + d < n]
-                at = at[key[at] == key[at + d]]
-                if not len(at):
-                    break
-                far = np.bitwise_count(two[at, 0] ^ two[at + d, 0]).astype(np.int64) + np.bitwise_count(two[at, 1] ^ two[at + d, 1])
-                hit = far <= distance
-                found.append((at[hit], at[hit] + d, far[hit]))
-                d += 1
-            for k in np.flatnonzero(sizes > limit).tolist():
-                x, y, w = _ball_pairs(two[starts[k] : starts[k] + sizes[k]], distance)
-                found.append((x + starts[k], y + starts[k], w))
-            if not found:
+            x, y, w = _close_pairs(key, np.stack([a, b], axis=1).view(np.uint64), distance, limit)
+            if not len(x):
                 continue
-            x, y, w = (np.concatenate(v) for v in zip(*found, strict=True))
             own = np.unique(np.concatenate([x, y]))
-            u, v = _closest(n, x, y, w)
+            u, v = _closest(len(key), x, y, w)
             i, r = np.concatenate([own, v]), np.concatenate([own, u])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[i], t0[i], t1[i], t0[r], t1[r])], ["key", "t0", "t1", "r0", "r1"])
 

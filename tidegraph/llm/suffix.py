@@ -30,10 +30,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidegraph.storage import stage
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of runs that a task lays out and sorts.
+TASK_BYTES = 2 << 20
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -313,12 +316,12 @@ def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000,
     wanted = mixed.groupBy("uid").agg(F.collect_list(F.struct("anchor", "run", "n", "kinds", "lo", "hi", "off")).alias("want"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[bytes] = set()
+        done: bytes | None = None
         for b in batches:
             for uid, data, want in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if uid in done:  # a copy
+                if uid == done:  # a copy; those of other tasks go where runs are sorted
                     continue
-                done.add(uid)
+                done = uid
                 yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in want], t) for c, t in (("anchor", pa.int64()), ("run", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("off", pa.int16()))] + [pa.array([uid] * len(want), pa.binary()), pa.array([data[w["lo"] : w["hi"] + length] for w in want], pa.binary())], ["anchor", "run", "n", "kinds", "off", "uid", "data"])
 
     one = texts.select("uid", "data").join(wanted, "uid").select("uid", "data", "want")
@@ -353,7 +356,10 @@ def repeats(texts: DataFrame, length: int = 200, k: int = 64, most: int = 2000,
             a = np.array(rows, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2].astype(np.int32)), pa.array(a[:, 3].astype(np.int32))], ["anchor", "run", "a", "b"])
 
-    few = pieces.where(F.col("kinds") <= most).select("anchor", "run", "n", "off", "data", "uid").repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(sort, "anchor long, run long, a int, b int")
+    # tasks of some two megabytes, as sorting them takes a second each
+    size = mixed.where(F.col("kinds") <= most).agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    few = pieces.where(F.col("kinds") <= most).select("anchor", "run", "n", "off", "data", "uid").repartition(tasks, "anchor").sortWithinPartitions("anchor", "run").mapInArrow(sort, "anchor long, run long, a int, b int")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -380,13 +386,13 @@ def removed_runs(lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def with_repeats(docs: DataFrame, columns: list[str], length: int = 200, **search) -> DataFrame:
-    """The columns of docs with `data` (the text's bytes; null: empty) and `spans`, arrays (lo, hi) of repeated windows, or null."""
+    """(row, data, spans): a struct of the columns of docs, the text's bytes (null: empty) and an array (lo, hi) of repeated windows, or null."""
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    d = docs.select(*columns, data.alias("data"), F.unhex(F.md5(data)).alias("uid"))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), data.alias("data"), F.unhex(F.md5(data)).alias("uid"))
     # one text of each set of copies is enough beyond its count: equal texts have equal runs, counted together
     found = repeats(d.select("uid", F.lit(None).cast("string").alias("scope"), "data"), length, **search)
     spans = found.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return d.join(spans, "uid", "left").drop("uid")
+    return d.join(spans, "uid", "left").select("row", "data", "spans")
 
 
 def dedup(docs: DataFrame, length: int = 200, **search) -> DataFrame:
@@ -416,7 +422,7 @@ def dedup(docs: DataFrame, length: int = 200, **search) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     rows = with_repeats(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], length, **search)
-    return rows.select("doc_id", "data", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.select("row.doc_id", "data", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def cut_texts(docs: DataFrame, length: int = 200, **search) -> DataFrame:
@@ -425,23 +431,23 @@ def cut_texts(docs: DataFrame, length: int = 200, **search) -> DataFrame:
     A code point of which a cut takes a part goes whole.  Null texts stay null.
     """
     names = docs.columns
+    null = "_" * (1 + max(map(len, names)))  # a name that no column has
+    d = docs.withColumn(null, F.col("text").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for data, spans in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for data, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if spans:
                     at = np.array([(s["lo"], s["hi"]) for s in spans], np.int64)
                     starts, ends = removed_runs(at[:, 0], at[:, 1], length)
                     edges = [0, *np.stack([starts, ends], 1).reshape(-1).tolist(), len(data)]
                     data = b"".join(data[a:e].decode("utf-8", "ignore").encode() for a, e in zip(edges[::2], edges[1::2], strict=True))
                 texts.append(data.decode())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.string())], [*b.schema.names[:-2], "_kept"])
-
-    rest = docs.drop("text")
-    rows = with_repeats(docs.withColumn("_null", F.col("text").isNull()), [*rest.columns, "_null"], length, **search)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("data", "spans"))
-    done = rows.select(*rest.columns, "_null", "data", "spans").mapInArrow(run, f"{kinds}, _kept string").withColumn("text", F.when(~F.col("_null"), F.col("_kept")))
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.length("text").cast("long"))
-    return done.select(*names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "kept"])
+
+    rows = with_repeats(d, [c for c in d.columns if c != "text"], length, **search)
+    done = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("kept", StringType())]))
+    text = F.when(~F.col("row")[null], F.col("kept"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return done.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in names))
