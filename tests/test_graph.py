@@ -113,6 +113,7 @@ def test_views_of_the_same_edges_agree(spark, t, tmp_path):
     forms = [v.edges, stale.edges.unionByName(tail.edges), sinks.read_log(spark, str(tmp_path / "log")), spark.read.parquet(str(tmp_path / "parts")), spark.read.parquet(str(tmp_path / "compact")), v.delta(0, head).edges]
     found = [sorted(map(tuple, algorithms.bfs(f, 1).collect())) for f in forms]
     assert all(f == found[0] for f in found)
+    assert sorted(map(tuple, algorithms.bfs(v, 1).collect())) == found[0]  # a view itself will do
     assert sinks.read_log(spark, str(tmp_path / "log"), 10, 20).count() == 10
     assert len(list((tmp_path / "parts").glob("part-*"))) == 4
 

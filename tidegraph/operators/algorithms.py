@@ -1,4 +1,4 @@
-"""Breadth-first search, PageRank and components over views."""
+"""Breadth-first search, PageRank and components over any view, or over its edges (src, dst)."""
 
 from __future__ import annotations
 
@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from tidegraph.operators.components import connected_components
 from tidegraph.operators.edges import tiles, undirected
+from tidegraph.operators.views import GraphView
 from tidegraph.storage import stage
 
 
+def edges_of(graph: DataFrame | GraphView) -> DataFrame:
+    return graph.edges if isinstance(graph, GraphView) else graph
+
+
 #: Rounds after which the pieces of a growing result are written as one.
 COMPACT = 8
 
 
-def bfs(edges: DataFrame, root: int, first: int = 1, depth: int | None = None, target: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame | GraphView, root: int, first: int = 1, depth: int | None = None, target: int | None = None) -> DataFrame:
     """(vid, level) of what root reaches, over at most `depth` edges if that is given; the root's level is `first`.
 
     The frontier alone meets the edges in each round; the levels so far are only
     probed.  Each round is written to the shared folder.  With a target it ends at
     the target's level.
     """
+    edges = edges_of(edges)
     spark = edges.sparkSession
     e = stage(spark, edges.select("src", "dst").where("src <> dst").distinct(), "bfs-edges")
     seen = frontier = spark.createDataFrame([(root, first)], "vid long, level int")
@@ -39,8 +45,9 @@ def bfs(edges: DataFrame, root: int, first: int = 1, depth: int | None = None, t
     return seen
 
 
-def shortest_path(edges: DataFrame, root: int, target: int) -> DataFrame:
+def shortest_path(edges: DataFrame | GraphView, root: int, target: int) -> DataFrame:
     """(step, vid) of a shortest path from root (step 0) to target, of several the one of least predecessors; no rows if there is none."""
+    edges = edges_of(edges)
     spark = edges.sparkSession
     levels = bfs(edges, root, first=0, target=target)
     at = levels.where(F.col("vid") == target).first()
@@ -74,11 +81,12 @@ def relax(levels: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
             now = stage(spark, now.groupBy("vid").agg(F.min("level").alias("level")), "levels")
 
 
-def bfs_tiles(edges: DataFrame, root: int, bits: int = 16, first: int = 1) -> DataFrame:
+def bfs_tiles(edges: DataFrame | GraphView, root: int, bits: int = 16, first: int = 1) -> DataFrame:
     """(vid, level) by correcting labels over tiles of the vertex grid, both ways: only tiles with a changed source are looked at.
 
     In a round each live tile gives each of its destinations the best level.
     """
+    edges = edges_of(edges)
     spark = edges.sparkSession
     e = stage(spark, tiles(undirected(edges.select("src", "dst")), bits).distinct(), "tiles")
     now = frontier = spark.createDataFrame([(root, first)], "vid long, level int")
@@ -96,12 +104,13 @@ def bfs_tiles(edges: DataFrame, root: int, bits: int = 16, first: int = 1) -> Da
             now = stage(spark, now.groupBy("vid").agg(F.min("level").alias("level")), "levels")
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 5, push: bool = False) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame | GraphView, rounds: int = 5, push: bool = False) -> DataFrame:
     """(vid, rank), fixed rounds, not normalised: p0 = 0.15 where there are out-edges, then (0.15 + 0.85 S) / outdegree, undivided in the last round.
 
     Pull gathers by dst from stored in-edges, push scatters along out-edges;
     both are one shuffled sum per round over edges that are dealt once.
     """
+    edges = edges_of(edges)
     spark = edges.sparkSession
     e = stage(spark, edges.groupBy("src", "dst").agg(F.count("*").alias("times")), "edges")
     out = e.groupBy(F.col("src").alias("vid")).agg(F.sum("times").alias("deg"))
@@ -118,13 +127,14 @@ def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 5, push: bool
     return p.select("vid", "rank")
 
 
-def pagerank_to(vertices: DataFrame, edges: DataFrame, epsilon: float = 1e-8, start: DataFrame | None = None, block: int = 5) -> DataFrame:
+def pagerank_to(vertices: DataFrame, edges: DataFrame | GraphView, epsilon: float = 1e-8, start: DataFrame | None = None, block: int = 5) -> DataFrame:
     """(vid, rank) of the first round whose summed change over vertices with out-edges is at most epsilon; start: ranks of an earlier state.
 
     `block` rounds are one plan, a chain with one shuffle of sums a round over
     edges that are dealt once; then the change is looked at.  The block that
     reaches epsilon is gone through again round by round.
     """
+    edges = edges_of(edges)
     spark = edges.sparkSession
     e = stage(spark, edges.groupBy("src", "dst").agg(F.count("*").alias("times")), "edges")
     out = e.groupBy(F.col("src").alias("vid")).agg(F.sum("times").alias("deg"))
@@ -159,6 +169,6 @@ def pagerank_to(vertices: DataFrame, edges: DataFrame, epsilon: float = 1e-8, st
     return new.select("vid", "rank")
 
 
-def wcc(edges: DataFrame) -> DataFrame:
+def wcc(edges: DataFrame | GraphView) -> DataFrame:
     """(vid, component), component = least vertex; self-loops don't count, vertices without other edges have none."""
-    return connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).select(F.col("vertex").alias("vid"), "component")
+    return connected_components(edges_of(edges).select(F.col("src").alias("u"), F.col("dst").alias("v"))).select(F.col("vertex").alias("vid"), "component")
