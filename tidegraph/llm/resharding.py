@@ -146,7 +146,7 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHAR
     crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("text_crc32")
     d, moves = _placed(docs, old_shard, shards, split_share, buckets, [crc], True)
     d = d.join(moves, F.col("unit") == F.col("u")).drop("u")
-    d = d.withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 32)))
+    d = d.withColumn("place", F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(1 << 32)))
     d = _prefixed(d, "shard", ["place", "doc_id", "h", "size"], F.lit(1), "slot", buckets)
     return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 

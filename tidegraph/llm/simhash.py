@@ -479,27 +479,37 @@ def _ball_pairs(two: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray,
     balls whose centres are near enough by their closest members.
     """
     apart = lambda i, js: np.bitwise_count(two[js] ^ two[i]).sum(axis=1, dtype=np.int64)
-    left, balls = np.arange(len(two)), []
+    if len(two) >= 1 << 24:
+        raise ValueError("a bucket of over 16 million fingerprints; widen the partitions")
+    left, balls, radius = np.arange(len(two)), [], []
     xs, ys, ws = [], [], []
     while len(left):
         d = apart(left[0], left)
         mine = d <= distance // 2
         balls.append(left[mine])
+        radius.append(int(d[mine].max()))
         xs.append(np.full(mine.sum() - 1, left[0]))
         ys.append(left[mine][1:])
         ws.append(d[mine][1:])
         left = left[~mine]
-    centres = np.array([m[0] for m in balls])
+    centres, radius = np.array([m[0] for m in balls]), np.array(radius)
     for k, m in enumerate(balls):
         d = apart(centres[k], centres[k + 1 :])
-        for j in (np.flatnonzero(d <= distance + 2 * (distance // 2)) + k + 1).tolist():
-            best = (distance + 1, 0, 0)
-            for x in m.tolist():
-                far = apart(x, balls[j])
-                at = int(far.argmin())
-                best = min(best, (int(far[at]), x, int(balls[j][at])))
-            if best[0] <= distance:
-                xs.append([best[1]]), ys.append([best[2]]), ws.append([best[0]])
+        near = np.flatnonzero(d <= distance + radius[k] + radius[k + 1 :]) + k + 1
+        if not len(near):
+            continue
+        others = np.concatenate([balls[j] for j in near])
+        starts = np.cumsum([0, *(len(balls[j]) for j in near[:-1])])
+        step = max(1, (1 << 18) // len(others))
+        best = np.full(len(near), np.iinfo(np.int64).max)
+        for lo in range(0, len(m), step):  # (distance, place in others, member) in one number
+            far = np.bitwise_count(two[m[lo : lo + step], None] ^ two[None, others]).sum(axis=2, dtype=np.int64)
+            packed = (far.min(axis=0) << 48) + (np.arange(len(others)) << 24) + lo + far.argmin(axis=0)
+            best = np.minimum(best, np.minimum.reduceat(packed, starts))
+        best = best[best >> 48 <= distance]
+        xs.append(m[best & 0xFFFFFF])
+        ys.append(others[best >> 24 & 0xFFFFFF])
+        ws.append(best >> 48)
     return tuple(np.concatenate([np.empty(0, np.int64), *v]).astype(np.int64) for v in (xs, ys, ws))
 
 
@@ -635,7 +645,7 @@ def near_texts(texts: DataFrame, words: int = 5, p: int = 4, q: int = 5, recall:
     2. Links that hold give components.  Buckets whose rows are then in more
        than one give all pairs between these that their whole prints allow.
 
-    A bucket is held by one task, 40 bytes a row; above `bucket_limit` rows it is
+    A bucket is held by one task, 40 bytes a row (16 million rows at most, or an error); above `bucket_limit` rows it is
     compared by balls, linear in its size where it is a group of near copies.
     """
     spark = texts.sparkSession
