@@ -103,7 +103,7 @@ def test_near_copies_with_hot_shingles(spark, limit):
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, SF).collect())
     assert got == sorted({top(i) for i in range(len(texts))})
-    found = simhash.near_texts(df.select(*simhash.text_keys(df.text), "text"), bucket_limit=limit).collect()
+    found = simhash.near_texts(df.select(*simhash.text_keys(df.text), "text"), bucket_limit=limit, block=limit).collect()
     groups: dict = {}
     for i, t in enumerate(texts):
         groups.setdefault(top(i), set()).add(t if (t or "").strip() else None)

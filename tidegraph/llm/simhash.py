@@ -544,20 +544,15 @@ def _closest(n: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.nd
 
 
 def _near(keys: DataFrame, distance: int, limit: int) -> DataFrame:
-    """(key, t0, t1, r0, r1): each row of a bucket with another within `distance` of its first two lanes once
-    with r its own id, and the links of a forest of least distances over these rows with r the other end."""
+    """(c0, c1, t0, t1): in each bucket a forest of the closest pairs whose first two lanes are within `distance`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, t0, t1, a, b in _by_key(batches):
-            x, y, w = _close_pairs(key, np.stack([a, b], axis=1).view(np.uint64), distance, limit)
-            if not len(x):
-                continue
-            own = np.unique(np.concatenate([x, y]))
-            u, v = _closest(len(key), x, y, w)
-            i, r = np.concatenate([own, v]), np.concatenate([own, u])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[i], t0[i], t1[i], t0[r], t1[r])], ["key", "t0", "t1", "r0", "r1"])
+            x, y = _closest(len(key), *_close_pairs(key, np.stack([a, b], axis=1).view(np.uint64), distance, limit))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t0[x], t1[x], t0[y], t1[y])], ["c0", "c1", "t0", "t1"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "t0", "t1").mapInArrow(run, "key long, t0 long, t1 long, r0 long, r1 long")
+    return keys.repartition("key").sortWithinPartitions("key", "t0", "t1").mapInArrow(run, "c0 long, c1 long, t0 long, t1 long")
 
 
 def _likely(d: np.ndarray, n: np.ndarray, m: np.ndarray, bits: int, p: int, q: int) -> np.ndarray:
@@ -567,49 +562,36 @@ def _likely(d: np.ndarray, n: np.ndarray, m: np.ndarray, bits: int, p: int, q: i
     return (d <= bits * error + 4 * np.sqrt(bits * error * (1 - error))) & (least * q >= np.maximum(n, m) * p)
 
 
-def _crossing(rows: DataFrame, lanes: int, p: int, q: int) -> DataFrame:
-    """(key, t0, t1, c, n, print) -> pairs (c0, c1, t0, t1) of a bucket in different components c whose prints are near."""
+def _alike(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * q >= (len(x) + len(y) - both) * p
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t0, t1, c, n, prints in _by_key(batches):
-            words = np.frombuffer(b"".join(prints.tolist()), np.uint64).reshape(-1, lanes)
-            at, d = np.arange(len(key)), 1
-            while True:
-                at = at[at + d < len(key)]
-                at = at[key[at] == key[at + d]]
-                if not len(at):
-                    break
-                x = at[c[at] != c[at + d]]
-                far = np.bitwise_count(words[x] ^ words[x + d]).sum(axis=1, dtype=np.int64)
-                x = x[_likely(far, n[x].astype(np.int64), n[x + d].astype(np.int64), 64 * lanes, p, q)]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (t0[x], t1[x], t0[x + d], t1[x + d])], ["c0", "c1", "t0", "t1"])
-                d += 1
-
-    dealt = rows.select("key", "t0", "t1", "c", "n", "print").repartition("key").sortWithinPartitions("key", "t0", "t1")
-    return dealt.mapInArrow(run, "c0 long, c1 long, t0 long, t1 long")
-
-
-def _verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words: int, lanes: int, p: int, q: int) -> DataFrame:
-    """Distinct pairs (c0, c1, t0, t1) -> links (u, v) in hex, those whose shingle sets have the similarity p/q or more.
-
-    A pair's whole prints are compared first, its texts only if these are near.
-    """
-    spark = pairs.sparkSession
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bitmap(ids: DataFrame):
+    """A broadcast bitmap of 2**24 bits, whatever the number of ids (t0): 2 MB that keep most other texts out of a shuffle."""
+    at = F.col("t0").bitwiseAND((1 << 24) - 1)
+    words = ids.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(t0 & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << 18, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(t0, t1, text) of the ids (t0, t1), one row each, staged."""
+    shared = _bitmap(ids)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, lanes) for k in (5, 7))
-            n, m = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 6))
-            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            b = b.filter(pa.array(_likely(far, n, m, 64 * lanes, p, q)))
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(4)], ["c0", "c1", "t0", "t1"])
+            t = b.column(0).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array((bits[(t & ((1 << 24) - 1)) >> 6] >> (t & 63)) & 1 == 1))
+
+    few = texts.select("t0", "t1", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(some, "t0 long, t1 long, text string")
+    return stage(texts.sparkSession, few.join(ids, ["t0", "t1"], "left_semi").groupBy("t0", "t1").agg(F.first("text").alias("text")), "texts", tidy=True)
 
-    other = prints.select(F.col("t0").alias("c0"), F.col("t1").alias("c1"), F.col("n").alias("m"), F.col("print").alias("other"))
-    both = pairs.join(prints, ["t0", "t1"]).join(other, ["c0", "c1"]).select("c0", "c1", "t0", "t1", "n", "print", "m", "other")
-    near = stage(spark, both.mapInArrow(close, "c0 long, c1 long, t0 long, t1 long"), "pairs", tidy=True)
-    ids = near.select("t0", "t1").union(near.select("c0", "c1")).distinct()
-    own = stage(spark, texts.join(ids, ["t0", "t1"], "left_semi").groupBy("t0", "t1").agg(F.first("text").alias("text")), "texts", tidy=True)
+
+def _verified(pairs: DataFrame, own: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """Distinct pairs (c0, c1, t0, t1) -> links (u, v) in hex, those whose shingle sets have the similarity p/q or more."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.empty(0, np.uint64)
@@ -619,19 +601,108 @@ def _verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words: int,
                 x = x.as_py()
                 if x != last:
                     last, held = x, np.unique(shingle_hashes(x, words))
-                mine = np.unique(shingle_hashes(y.as_py(), words))
-                both = len(np.intersect1d(held, mine, assume_unique=True))
-                keep.append(both * q >= (len(held) + len(mine) - both) * p)
+                keep.append(_alike(held, np.unique(shingle_hashes(y.as_py(), words)), p, q))
             b = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(4)], ["c0", "c1", "t0", "t1"])
 
     named = own.select(F.col("t0").alias("c0"), F.col("t1").alias("c1"), F.col("text").alias("other"))
-    asked = near.join(own, ["t0", "t1"]).join(named, ["c0", "c1"]).select("c0", "c1", "t0", "t1", "other", "text")
+    asked = pairs.join(own, ["t0", "t1"]).join(named, ["c0", "c1"]).select("c0", "c1", "t0", "t1", "other", "text")
     good = asked.mapInArrow(alike, "c0 long, c1 long, t0 long, t1 long")
-    return stage(spark, good.select(hexed("c0", "c1").alias("u"), hexed("t0", "t1").alias("v")), "links", tidy=True)
+    return stage(pairs.sparkSession, good.select(hexed("c0", "c1").alias("u"), hexed("t0", "t1").alias("v")), "links", tidy=True)
+
 
+def _blocks(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(t0, t1, g, c), texts of cloud g and component c -> members with their block, and pairs of blocks (pair, block).
 
-def near_texts(texts: DataFrame, words: int = 5, p: int = 4, q: int = 5, recall: float = 0.99, bucket_limit: int = 512) -> DataFrame:
+    A component of `block` texts or more has blocks of its own, others share
+    some; blocks of one component aren't paired, nor are clouds of one component.
+    """
+    comps = members.groupBy("g", "c").agg(F.count("*").alias("n"))
+    clouds = comps.groupBy("g").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") < block, F.col("n")).otherwise(0)).alias("rest")).where("kinds > 1").select("g", "rest")
+    sized = comps.join(clouds, "g")
+    rows = members.join(sized, ["g", "c"])
+    large = F.col("n") >= block
+    cut = F.when(large, F.pmod(F.xxhash64("t0", "t1"), F.ceil(F.col("n") / block))).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.col("rest") / block)))
+    rows = rows.withColumn("pure", F.when(large, F.col("c"))).withColumn("block", F.xxhash64("g", "pure", cut)).select("t0", "t1", "g", "c", "pure", "block")
+    blocks = rows.select("g", "block", "pure").distinct()
+    other = blocks.select("g", F.col("block").alias("b"), F.col("pure").alias("p"))
+    pairs = blocks.join(other, "g").where((F.col("block") <= F.col("b")) & ~F.coalesce(F.col("pure") == F.col("p"), F.lit(False)))
+    pairs = pairs.select(F.xxhash64("block", "b").alias("pair"), F.explode(F.array_distinct(F.array("block", "b"))).alias("block"))
+    return rows.select("t0", "t1", "c", "block"), pairs
+
+
+def _across(members: DataFrame, own: DataFrame, prints: DataFrame, words: int, lanes: int, p: int, q: int, block: int) -> DataFrame:
+    """Links (u, v) in hex that connect what links of similarity p/q connect between a cloud's components.
+
+    Two blocks of a cloud meet in a task; its pairs of different components whose
+    prints are near are checked exactly, the closest first, as long as they
+    don't connect anyway.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # texts are looked at for few rows, so they stay in Arrow; a pair of blocks has some 2 * block rows
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                if held and held[0].column(0)[0].as_py() != int(keys[lo]):
+                    yield from work(held)
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from work(held)
+
+    def work(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        t0, t1, c, blk, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+        prints = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint64).reshape(-1, lanes)
+        first = blk == blk[0]
+        two = not first.all()
+        xs, ys, ds = [], [], []
+        for x in np.flatnonzero(first).tolist():
+            others = np.flatnonzero(~first) if two else np.arange(x + 1, len(c))
+            others = others[c[others] != c[x]]
+            far = np.bitwise_count(prints[others] ^ prints[x]).sum(axis=1, dtype=np.int64)
+            near = _likely(far, np.full(len(others), n[x], np.int64), n[others].astype(np.int64), 64 * lanes, p, q)
+            xs.append(np.full(near.sum(), x))
+            ys.append(others[near])
+            ds.append(far[near])
+        x, y, d = (np.concatenate([np.empty(0, np.int64), *v]).astype(np.int64) for v in (xs, ys, ds))
+        root = {int(k): int(k) for k in np.unique(c)}
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = np.unique(shingle_hashes(t.column(7)[k].as_py(), words))
+            return sets[k]
+
+        out = []
+        for k in np.argsort(d, kind="stable").tolist():
+            i, j = int(x[k]), int(y[k])
+            a, b = top(int(c[i])), top(int(c[j]))
+            if a != b and _alike(shingles(i), shingles(j), p, q):
+                root[max(a, b)] = min(a, b)
+                out.append((i, j))
+        if out:
+            i, j = np.array(out).T
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (t0[i], t1[i], t0[j], t1[j])], ["c0", "c1", "t0", "t1"])
+
+    rows, pairs = _blocks(members, block)
+    dealt = pairs.join(rows, "block").join(prints, ["t0", "t1"]).join(own, ["t0", "t1"]).select("pair", "t0", "t1", "c", "block", "n", "print", "text")
+    good = dealt.repartition("pair").sortWithinPartitions("pair", "block", "t0", "t1").mapInArrow(run, "c0 long, c1 long, t0 long, t1 long")
+    return stage(members.sparkSession, good.select(hexed("c0", "c1").alias("u"), hexed("t0", "t1").alias("v")), "links", tidy=True)
+
+
+def near_texts(texts: DataFrame, words: int = 5, p: int = 4, q: int = 5, recall: float = 0.99, bucket_limit: int = 512, block: int = 512) -> DataFrame:
     """(t0, t1, text) as of text_keys, copies and nulls included -> (vertex, component) of texts linked to others; vertex: t0 and t1 in hex.
 
     Texts link where their sets of `words`-word shingles have a Jaccard
@@ -641,9 +712,12 @@ def near_texts(texts: DataFrame, words: int = 5, p: int = 4, q: int = 5, recall:
 
     1. Each text's print (1024 bits; 2048 above a million texts) is probed by
        partition; a bucket gives a forest of its closest pairs, so a group of
-       copies costs its size in links, not its square.
-    2. Links that hold give components.  Buckets whose rows are then in more
-       than one give all pairs between these that their whole prints allow.
+       copies costs its size in links, not its square.  What these connect is a
+       cloud: texts in different clouds are not compared.
+    2. In clouds of over `block` texts the forest's pairs are checked, which
+       leaves few components there.
+    3. Texts of different components of a cloud (in a small one: all) meet in
+       pairs of blocks, where links are found closest first.
 
     A bucket is held by one task, 40 bytes a row (16 million rows at most, or an error); above `bucket_limit` rows it is
     compared by balls, linear in its size where it is a group of near copies.
@@ -656,16 +730,15 @@ def near_texts(texts: DataFrame, words: int = 5, p: int = 4, q: int = 5, recall:
     groups, shares = lane_groups(prints, lanes, width)
     parts = list(zip(groups, near_thresholds(groups, shares, rows, error, recall), strict=True))
     distance = math.ceil(128 * (error + 0.04) + 2.6 * math.sqrt(128 * (error + 0.04) * (0.96 - error)))
-    near = stage(spark, _near(_near_keys(prints, lanes, parts), distance, bucket_limit), "near", tidy=True)
-    own = (F.col("t0") == F.col("r0")) & (F.col("t1") == F.col("r1"))
-    forest = near.where(~own).select(F.col("r0").alias("c0"), F.col("r1").alias("c1"), "t0", "t1").distinct()
-    sure = _verified(forest, prints, texts, words, lanes, p, q)
+    forest = stage(spark, _near(_near_keys(prints, lanes, parts), distance, bucket_limit).distinct(), "forest", tidy=True)
+    clouds = connected_components(forest.select(hexed("c0", "c1").alias("u"), hexed("t0", "t1").alias("v")))
+    ids = forest.select("t0", "t1").union(forest.select("c0", "c1")).distinct().withColumn("vertex", hexed("t0", "t1"))
+    ids = stage(spark, ids.join(clouds, "vertex").select("t0", "t1", "vertex", F.xxhash64("component").alias("g")), "ids", tidy=True)
+    own = _texts_of(texts, ids.select("t0", "t1"))
+    large = ids.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > block).select("g")
+    asked = forest.join(ids.join(large, "g", "left_semi").select("t0", "t1"), ["t0", "t1"], "left_semi")
+    sure = _verified(asked, own, words, p, q)
     found = connected_components(sure)
-    vertex = hexed("t0", "t1")
-    named = near.where(own).select("key", "t0", "t1", vertex.alias("vertex")).join(found, "vertex", "left").select("key", "t0", "t1", F.xxhash64(F.coalesce("component", "vertex")).alias("c"))
-    named = stage(spark, named, "named", tidy=True)
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    across = _crossing(named.join(mixed, "key", "left_semi").join(prints, ["t0", "t1"]), lanes, p, q)
-    across = across.select(*(F.when(F.struct("c0", "c1") < F.struct("t0", "t1"), F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("c0", "c0", "t0"), ("c1", "c1", "t1"), ("t0", "t0", "c0"), ("t1", "t1", "c1"))))
-    more = _verified(across.distinct(), prints, texts, words, lanes, p, q)
-    return found if more.isEmpty() else connected_components(sure.union(more))
+    members = ids.join(found, "vertex", "left").select("t0", "t1", "g", F.xxhash64(F.coalesce("component", "vertex")).alias("c"))
+    more = _across(stage(spark, members, "members", tidy=True), own, prints, words, lanes, p, q, block)
+    return connected_components(sure.union(more))
