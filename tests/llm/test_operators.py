@@ -216,6 +216,42 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_ships_no_tiles(spark):
+    """Blocks meet where they are read: what is shuffled are lists of hits, so that disk and memory don't grow with the number of tiles."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
+    got = topk.top_k(df, F.col("vec_id") % 2 == 0, block=8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan[plan.index("MapInArrow") :]
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows(got) if r["query_id"] % 50 == 0} == slow_top([(i, [float(i % 7), 1.0]) for i in range(300)])
+
+
+def test_top_k_odd_blocks(spark):
+    """Ties, copies, rows of one id, several widths and scores from 16 to 63 bits, in blocks of all sizes and in one and many slices."""
+    rng = random.Random(3)
+    table = [(rng.choice([0, 50, i, i]), [rng.choice([0.0, 0.004, -1.0, 0.5]) for _ in range(rng.choice([0, 1, 3, 3, 3]))]) for i in range(120)]
+    table += [(200 + i, [rng.choice([-1, 1]) * 2.0 ** rng.choice([5, 12, 20, 22]), 1.0, -2.0]) for i in range(30)]
+    table += [(250, [2.0**22, 1.0, 0.0]), (300, [0.5, -0.25, 0.0]), (301, [-1e30, 0.0, 0.0]), (350, [0.0, 1.0, 1.0])]
+    whole = [(i, [min(max(math.floor(256 * x), -(2**63)), 2**63 - 1) for x in e]) for i, e in table if i != 301]
+    want = {}
+    for q in {i for i, _ in whole if i % 50 == 0}:
+        s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for i, v in whole if i == q for c, w in whole if c != q and len(v) == len(w))
+        want |= {(q, n + 1): (c, -x) for n, (x, c) in enumerate(s[:5])}
+    held = spark.createDataFrame([x for x in table if x[0] != 301], "vec_id long, embedding array<double>").repartition(3)
+    for block in (1, 7, 40, 8192):
+        got = rows(topk.top_k(held, F.col("vec_id") % 50 == 0, block=block, fan=3))
+        assert len(got) == len(want) and {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want
+    far = spark.createDataFrame([x for x in table if x[0] in (301, 350)] + [(351, [0.0, 0.0, 5.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in rows(topk.top_k(far, F.col("vec_id") == 350))] == [(351, 256 * 1280), (301, 0)]
+    best = topk._Best(np.array([9]), np.array([[2**40, 1]]), 2)
+    for ids, c in (([1, 2], [[2**40, 1], [-(2**40), 0]]), ([3, 4], [[0, 0], [2**22, 3]])):
+        if ids[0] == 1:
+            with pytest.raises(OverflowError):
+                best.add(np.array([[2**40, 1]]), np.array(ids), np.array(c))
+        else:
+            best.add(np.array([[2**40, 1]]), np.array(ids), np.array(c))
+    assert best.ids[0].tolist() == [4, 3] and best.scores[0].tolist() == [2**62 + 3, 0]
+
+
 # 4 ---------------------------------------------------------------------------
 
 
