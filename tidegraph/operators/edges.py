@@ -38,13 +38,16 @@ def live_edges(log: DataFrame, directed: bool = True) -> DataFrame:
     one with nothing to take does nothing.  An insert is thus gone as soon as the
     running sum of op falls below its own value at some later row of the pair.
     Undirected: a delete of (a, b) also takes an insert of (b, a).
-    One shuffle and one sort serve both windows.
+    One shuffle serves both windows: one runs forward, one back over the row
+    numbers, so that each row costs the same however long its pair's history is
+    and rows of one eid keep their order.
     """
     pair = [F.col("src"), F.col("dst")] if directed else [F.least("src", "dst"), F.greatest("src", "dst")]
     w = W.partitionBy(*pair).orderBy("eid")
-    summed = log.withColumn("_s", F.sum("op").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    later = summed.withColumn("_low", F.min("_s").over(w.rowsBetween(1, W.unboundedFollowing)))
-    return later.where((F.col("op") == 1) & (F.col("_low").isNull() | (F.col("_low") >= F.col("_s")))).drop("_s", "_low")
+    summed = log.withColumns({"_n": F.row_number().over(w), "_s": F.sum("op").over(w.rowsBetween(W.unboundedPreceding, 0))})
+    back = W.partitionBy(*pair).orderBy(F.desc("_n")).rowsBetween(W.unboundedPreceding, -1)
+    later = summed.withColumn("_low", F.min("_s").over(back))
+    return later.where((F.col("op") == 1) & (F.col("_low").isNull() | (F.col("_low") >= F.col("_s")))).drop("_n", "_s", "_low")
 
 
 def last_write(rows: DataFrame, key: str | list[str], value: str, order: str = "eid") -> DataFrame:
