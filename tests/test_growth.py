@@ -27,3 +27,11 @@ def test_live_edges_of_one_offset(spark):
     """Rows of one eid keep one order in both directions: three inserts at -1, then a delete, leave two."""
     log = spark.createDataFrame([(-1, 1, 0, 0, k) for k in range(300)] + [(1, -1, 0, 0, 0)], LOG)
     assert edges.live_edges(log).count() == 299
+
+
+def test_live_edges_undirected_look_back_only(spark):
+    assert "unboundedfollowing" not in plan_of(registry.QUERIES["live_edges_undirected"](spark, SF))
+    rng = random.Random(4)
+    rows = [(k, rng.choice([1, 1, -1]), *rng.choice([(0, 1), (1, 0)]), k) for k in range(4000)]
+    got = edges.live_edges(spark.createDataFrame(rows, LOG), directed=False).select("eid").collect()
+    assert sorted(r["eid"] for r in got) == live_model(rows, False)
