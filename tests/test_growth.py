@@ -35,3 +35,7 @@ def test_live_edges_undirected_look_back_only(spark):
     rows = [(k, rng.choice([1, 1, -1]), *rng.choice([(0, 1), (1, 0)]), k) for k in range(4000)]
     got = edges.live_edges(spark.createDataFrame(rows, LOG), directed=False).select("eid").collect()
     assert sorted(r["eid"] for r in got) == live_model(rows, False)
+
+
+def test_degree_live_looks_back_only(spark):
+    assert "unboundedfollowing" not in plan_of(registry.QUERIES["degree_live"](spark, SF))
