@@ -39,3 +39,7 @@ def test_live_edges_undirected_look_back_only(spark):
 
 def test_degree_live_looks_back_only(spark):
     assert "unboundedfollowing" not in plan_of(registry.QUERIES["degree_live"](spark, SF))
+
+
+def test_edges_with_deletes_look_back_only(spark):
+    assert "unboundedfollowing" not in plan_of(registry.QUERIES["edges_with_deletes"](spark, SF))
