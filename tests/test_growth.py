@@ -1,13 +1,12 @@
 """Plans and results whose cost must grow no faster than the input."""
 
 import random
-
-import pytest
-from pyspark.sql import functions as F
+from collections import defaultdict
 
 from tests.test_graph import LOG, SF, live_model
 from tidegraph.operators import edges
 from tidegraph.plans import registry
+from tidegraph.sources import sinks
 
 
 def plan_of(df):
@@ -43,3 +42,21 @@ def test_degree_live_looks_back_only(spark):
 
 def test_edges_with_deletes_look_back_only(spark):
     assert "unboundedfollowing" not in plan_of(registry.QUERIES["edges_with_deletes"](spark, SF))
+
+
+def test_replay_in_one_scan(spark, tmp_path):
+    """One plan serves all batches; the same markers, rows and rests as batch after batch."""
+    path, start = str(tmp_path / "log"), 7
+    sinks.write_log(spark.range(1000).where("id not between 300 and 420").selectExpr("id as eid", "id * 3 as dst"), path, 0, 1000)
+    slow = {}
+    sinks.replay(spark, path, lambda e, marker: slow.update({marker: sorted(r["eid"] for r in e.collect())}), 50, start)
+    fast = defaultdict(list)
+    for r in sinks.replayed(spark, path, 50, start).collect():
+        fast[r["marker"]].append(r["eid"])
+    assert {m: sorted(x) for m, x in fast.items()} == {m: x for m, x in slow.items() if x}
+
+
+def test_log_replay_plan_is_of_one_scan(spark, tmp_path):
+    spark.range(20000).selectExpr("id as o_orderkey", "id % 9 as o_custkey", "1.0d as o_totalprice", "timestamp'2020-01-01' as o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(9).selectExpr("id as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    assert "union" not in plan_of(registry.QUERIES["log_replay"](spark, str(tmp_path)))

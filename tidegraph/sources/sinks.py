@@ -70,7 +70,7 @@ def read_properties(spark: SparkSession, path: str, encoders: dict[str, str] | N
 
 
 def replay(spark: SparkSession, path: str, step, batch: int = 1 << 16, lo: int = 0) -> None:
-    """Read a stored log again, `batch` offsets at a time, and call step(edges, marker) for each."""
+    """Read a stored log again, `batch` offsets at a time, and call step(edges, marker) for each; one after another, for few batches."""
     head = head_of(spark.read.parquet(path))
     while lo < head:
         hi = min(lo + batch, head)
@@ -78,6 +78,13 @@ def replay(spark: SparkSession, path: str, step, batch: int = 1 << 16, lo: int =
         lo = hi
 
 
+def replayed(spark: SparkSession, path: str, batch: int = 1 << 16, lo: int = 0) -> DataFrame:
+    """All batches of replay() in one scan: the log's rows from lo on, each with the `marker` of its batch."""
+    log = read_log(spark, path, lo)
+    end = lo + (F.floor((F.col("eid") - lo) / batch) + 1) * batch
+    return log.withColumn("marker", F.least(end, F.lit(head_of(log))).cast("long"))
+
+
 def to_binary(edges: DataFrame) -> DataFrame:
     """(src, dst) -> (part, content): packed little-endian records of a task's edges, at most a million in a row."""
 
