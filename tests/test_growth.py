@@ -6,7 +6,7 @@ from collections import defaultdict
 from tests.test_graph import LOG, SF, live_model
 from tidegraph.operators import edges
 from tidegraph.plans import registry
-from tidegraph.sources import sinks
+from tidegraph.sources import readers, sinks
 
 
 def plan_of(df):
@@ -60,3 +60,12 @@ def test_log_replay_plan_is_of_one_scan(spark, tmp_path):
     spark.range(20000).selectExpr("id as o_orderkey", "id % 9 as o_custkey", "1.0d as o_totalprice", "timestamp'2020-01-01' as o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
     spark.range(9).selectExpr("id as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
     assert "union" not in plan_of(registry.QUERIES["log_replay"](spark, str(tmp_path)))
+
+
+def test_csr_places_are_not_broadcast(spark):
+    """Few rows with many places look small to the planner."""
+    offsets = spark.range(3).selectExpr("id as vid", "array(0L, 3L, 3L)[int(id)] as start", "array(3L, 3L, 5L)[int(id)] as end")
+    nbrs = spark.range(3_000_000).selectExpr("id as pos", "10 + id as dst")
+    got = readers.csr_edges(offsets, nbrs)
+    assert "broadcast" not in got._jdf.queryExecution().sparkPlan().toString().lower()
+    assert sorted(map(tuple, got.select("src", "dst").collect())) == [(0, 10), (0, 11), (0, 12), (2, 13), (2, 14)]

@@ -182,8 +182,12 @@ def binary_edges(spark: SparkSession, path: str, wide: bool = True, weight: str
 
 
 def csr_edges(offsets: DataFrame, nbrs: DataFrame) -> DataFrame:
-    """Compressed rows (vid, start, end) and (pos, dst[, weight]) -> edges; a range join by exploding each row's places."""
-    return offsets.where(F.col("end") > F.col("start")).select(F.col("vid").alias("src"), F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")).join(nbrs, "pos").drop("pos")
+    """Compressed rows (vid, start, end) and (pos, dst[, weight]) -> edges; a range join by exploding each row's places.
+
+    The places are as many as the edges, which their estimated size doesn't tell, so they are kept from a broadcast.
+    """
+    places = offsets.where(F.col("end") > F.col("start")).select(F.col("vid").alias("src"), F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    return places.hint("merge").join(nbrs, "pos").drop("pos")
 
 
 def parse_conf(text: str) -> dict[str, list[list[str]]]:
