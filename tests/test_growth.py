@@ -3,10 +3,13 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tests.test_graph import LOG, SF, live_model
-from tidegraph.operators import edges
+from tidegraph.operators import algorithms, edges
 from tidegraph.plans import registry
 from tidegraph.sources import readers, sinks
+from tidegraph.streaming import runners
 
 
 def plan_of(df):
@@ -69,3 +72,14 @@ def test_csr_places_are_not_broadcast(spark):
     got = readers.csr_edges(offsets, nbrs)
     assert "broadcast" not in got._jdf.queryExecution().sparkPlan().toString().lower()
     assert sorted(map(tuple, got.select("src", "dst").collect())) == [(0, 10), (0, 11), (0, 12), (2, 13), (2, 14)]
+
+
+def test_a_fed_batch_is_many_files(spark, monkeypatch):
+    """One file a batch is written by one task and read by few."""
+    monkeypatch.setattr(runners, "FILE_ROWS", 100)
+    log = spark.range(1500).selectExpr("id as eid", "id % 40 as src", "id * 7 % 40 as dst")
+    path, files = runners.feed(log, 3)
+    assert files == 5
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() == 15
+    got = {tuple(r) for r in runners.Stateful(log, runners.bfs_step(1)).result().collect()}
+    assert got == {tuple(r) for r in algorithms.bfs(log, 1, first=0).collect()}

@@ -30,15 +30,22 @@ def append(log: DataFrame, path: str, lo: int, hi: int, files: int = 1) -> None:
         log.where((F.col("eid") >= a) & (F.col("eid") < b)).coalesce(1).write.mode("append").parquet(path)
 
 
+#: Rows of a file of a fed log: a batch is many files at size, so that many tasks write and read it.
+FILE_ROWS = 1 << 18
+
+
 def feed(log: DataFrame, batches: int) -> tuple[str, int]:
-    """Write the log as `batches` files, in order, to a folder that lasts as long as the session; returns it and the head."""
+    """Write the log as `batches` ranges of the offset, in order, to a folder that lasts as long as the session; returns it and the files of a range."""
     spark = log.sparkSession
     path = f"{shared_dir(spark)}/tidegraph-feed-{uuid.uuid4().hex}"
     head = head_of(log)
-    append(log, path, 0, head, batches)
+    files = max(1, -(-head // (batches * FILE_ROWS)))
+    for k in range(batches):
+        part = log.where((F.col("eid") >= head * k // batches) & (F.col("eid") < head * (k + 1) // batches))
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(path)
     for place in (path, f"{path}-state", f"{path}-at"):
         folder(spark, place, leave=False)
-    return path, head
+    return path, files
 
 
 class StreamView:
@@ -119,8 +126,8 @@ class Stateful:
 def concurrent(log: DataFrame, steps: dict[str, Step], batches: int = 3) -> dict[str, DataFrame]:
     """Several views that follow one log side by side -> their final states."""
     spark = log.sparkSession
-    path, _ = feed(log, batches)
-    views = {name: StreamView(spark, path, log.schema, step, name) for name, step in steps.items()}
+    path, files = feed(log, batches)
+    views = {name: StreamView(spark, path, log.schema, step, name, files) for name, step in steps.items()}
     for v in views.values():
         v.start()
     return {name: v.wait().state() for name, v in views.items()}
