@@ -83,3 +83,14 @@ def test_a_fed_batch_is_many_files(spark, monkeypatch):
     assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() == 15
     got = {tuple(r) for r in runners.Stateful(log, runners.bfs_step(1)).result().collect()}
     assert got == {tuple(r) for r in algorithms.bfs(log, 1, first=0).collect()}
+
+
+def test_a_large_frontier_stays_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(algorithms, "SMALL", 0, raising=False)
+    plans, stage = [], algorithms.stage
+    monkeypatch.setattr(algorithms, "stage", lambda s, df, name, **k: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), stage(s, df, name, **k))[1])
+    log = spark.range(1500).selectExpr("id as eid", "id * id % 97 as src", "id * 7 % 97 as dst")
+    start = spark.createDataFrame([(1, 0)], "vid long, level int")
+    got = {tuple(r) for r in algorithms.relax(stage(spark, start, "start"), stage(spark, log, "log"), start).collect()}
+    assert plans and not any("Broadcast" in p for p in plans)
+    assert got == {tuple(r) for r in algorithms.bfs(log, 1, first=0).collect()}

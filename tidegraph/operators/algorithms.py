@@ -17,6 +17,8 @@ def edges_of(graph: DataFrame | GraphView) -> DataFrame:
 
 #: Rounds after which the pieces of a growing result are written as one.
 COMPACT = 8
+#: Vertices of a frontier that may be broadcast.
+SMALL = 100_000
 
 
 def bfs(edges: DataFrame | GraphView, root: int, first: int = 1, depth: int | None = None, target: int | None = None) -> DataFrame:
@@ -64,16 +66,20 @@ def relax(levels: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
 
     Only vertices that change or get a better level are followed, so a round
     costs what it touches and writes only that; right for insert-only logs.
+    A frontier of more than `SMALL` vertices is shuffled, so what goes through the
+    driver in a round is bounded.
     """
     spark = edges.sparkSession
     now = levels
-    frontier = levels.join(changed.select("vid").distinct(), "vid", "left_semi")
-    rounds = 0
+    frontier = levels.join(changed.select("vid").distinct().hint("merge"), "vid", "left_semi")
+    size, rounds = None, 0
     while True:
-        offer = frontier.join(edges, F.col("vid") == F.col("src")).groupBy(F.col("dst").alias("vid")).agg((F.min("level") + 1).alias("offer"))
-        best = offer.join(now, "vid", "left").groupBy("vid").agg(F.min("offer").alias("offer"), F.min("level").alias("level"))
+        told = F.broadcast(frontier) if size is not None and size <= SMALL else frontier.hint("merge")
+        offer = edges.join(told, F.col("vid") == F.col("src")).groupBy(F.col("dst").alias("vid")).agg((F.min("level") + 1).alias("offer"))
+        best = offer.join(now.hint("merge"), "vid", "left").groupBy("vid").agg(F.min("offer").alias("offer"), F.min("level").alias("level"))
         frontier = stage(spark, best.where(F.col("level").isNull() | (F.col("offer") < F.col("level"))).select("vid", F.col("offer").cast("int").alias("level")), "relax")
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             return now.groupBy("vid").agg(F.min("level").alias("level")) if rounds else now
         rounds += 1
         now = now.unionByName(frontier)  # the least of a vertex's rows counts
