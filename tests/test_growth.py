@@ -94,3 +94,13 @@ def test_a_large_frontier_stays_off_the_driver(spark, monkeypatch):
     got = {tuple(r) for r in algorithms.relax(stage(spark, start, "start"), stage(spark, log, "log"), start).collect()}
     assert plans and not any("Broadcast" in p for p in plans)
     assert got == {tuple(r) for r in algorithms.bfs(log, 1, first=0).collect()}
+
+
+def test_views_side_by_side_over_many_files(spark, monkeypatch):
+    """Batches of several files give each view the states that batches of one file do."""
+    log = spark.range(900).selectExpr("id as eid", "id * id % 97 as src", "id * 7 % 97 as dst")
+    steps = {"bfs": runners.bfs_step(1), "wcc": runners.wcc_step, "degree": runners.degree_step}
+    found = lambda: {n: {tuple(r) for r in s.collect()} for n, s in runners.concurrent(log, steps, 2).items()}
+    one = found()
+    monkeypatch.setattr(runners, "FILE_ROWS", 100)
+    assert found() == one
