@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.test_graph import LOG, SF, live_model
@@ -104,3 +105,26 @@ def test_views_side_by_side_over_many_files(spark, monkeypatch):
     one = found()
     monkeypatch.setattr(runners, "FILE_ROWS", 100)
     assert found() == one
+
+
+def ranks_model(pairs, vids, epsilon=0.0, rounds=200):
+    at = {v: k for k, v in enumerate(vids)}
+    deg = np.bincount([at[a] for a, _ in pairs], minlength=len(vids))
+    s, d = np.array([(at[a], at[b]) for a, b in pairs if b in at]).T
+    rank = np.full(len(vids), 1.0 / len(vids))
+    for _ in range(rounds):
+        rank = 0.15 / len(vids) + 0.85 * np.bincount(d, (rank / np.maximum(deg, 1))[s], len(vids))
+    return dict(zip(vids, rank, strict=True))
+
+
+def test_rank_rounds_ship_no_row_for_each_edge(spark, monkeypatch):
+    """Several blocks and tiles, parallel edges, ends that are no vertices; few rounds, and ranks near the limit."""
+    monkeypatch.setattr(algorithms, "TILE", 200, raising=False)
+    plans, stage = [], algorithms.stage
+    monkeypatch.setattr(algorithms, "stage", lambda s, df, name, **k: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if name == "ranks" else None, stage(s, df, name, **k))[1])
+    rng = random.Random(5)
+    pairs = [(rng.randrange(200), rng.randrange(310)) for _ in range(1500)] + [(7, 8)] * 5
+    got = {r["vid"]: r["rank"] for r in algorithms.pagerank_to(spark.range(300).toDF("vid"), spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    want = ranks_model(pairs, range(300))
+    assert got.keys() == want.keys() and sum(abs(got[v] - want[v]) for v in want) < 1e-8 / 0.15
+    assert not any("times" in p and "tile" not in p for p in plans) and len(plans) < 40

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegraph.operators.components import connected_components
@@ -133,46 +139,127 @@ def pagerank(vertices: DataFrame, edges: DataFrame | GraphView, rounds: int = 5,
     return p.select("vid", "rank")
 
 
-def pagerank_to(vertices: DataFrame, edges: DataFrame | GraphView, epsilon: float = 1e-8, start: DataFrame | None = None, block: int = 5) -> DataFrame:
+#: Most edges of a tile and vertices of a block of pagerank_to(), on average.
+TILE, BLOCK = 1 << 22, 1 << 21
+#: How far two rounds' rates of change in pagerank_to() may differ, relatively, before a leap.
+STEADY = 1e-3
+
+
+def pagerank_to(vertices: DataFrame, edges: DataFrame | GraphView, epsilon: float = 1e-8, start: DataFrame | None = None, block: int = 1) -> DataFrame:
     """(vid, rank) of the first round whose summed change over vertices with out-edges is at most epsilon; start: ranks of an earlier state.
 
-    `block` rounds are one plan, a chain with one shuffle of sums a round over
-    edges that are dealt once; then the change is looked at.  The block that
-    reaches epsilon is gone through again round by round.
+    Vertices lie in blocks, edges once in tiles (block of the source, block of the
+    destination) as places in these blocks.  A round sends each block's ranks to
+    its row of tiles and each tile's sums to a block, as arrays of doubles without
+    keys: 16 bytes for each vertex and block, of which there are as many as the
+    root of edges over `TILE`.  The change is looked at after each round, whatever
+    `block` says, so none is gone through twice.
+
+    Where the change shrinks by a steady rate, as it does while vertices without
+    out-edges lose rank, the ranks leap to where it leads.  A leap only
+    gives the next round's start: what is returned is a whole round's outcome whose own
+    change is at most epsilon, so its distance to the limit has the same bound.  A leap
+    that doesn't help is the last.
     """
-    edges = edges_of(edges)
+    edges = edges_of(edges).select("src", "dst")
     spark = edges.sparkSession
     e = stage(spark, edges.groupBy("src", "dst").agg(F.count("*").alias("times")), "edges")
-    out = e.groupBy(F.col("src").alias("vid")).agg(F.sum("times").alias("deg"))
-    n = max(vertices.count(), 1)
-    v = vertices.join(out, "vid", "left").select("vid", F.coalesce("deg", F.lit(0)).alias("deg"))
-    v = stage(spark, v if start is None else v.join(start.withColumnRenamed("rank", "r"), "vid", "left"), "degrees")
-    p = v.select("vid", "deg", (F.lit(1.0 / n) if start is None else F.coalesce("r", F.lit(1.0 / n))).alias("rank"))
-    v = v.select("vid", "deg")
-
-    def after(p: DataFrame, rounds: int) -> tuple[DataFrame, float]:
-        for _ in range(rounds):
-            before = p
-            have = p.where("deg > 0").select(F.col("vid").alias("src"), (F.col("rank") / F.col("deg")).alias("share"))
-            got = e.join(have, "src").groupBy(F.col("dst").alias("vid")).agg(F.sum(F.col("share") * F.col("times")).alias("s"))
-            p = v.join(got, "vid", "left").select("vid", "deg", (F.lit(0.15 / n) + F.lit(0.85) * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        both = stage(spark, p.join(before.select("vid", F.col("rank").alias("old")), "vid"), "ranks")
-        moved = both.where("deg > 0").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
-        return both.drop("old"), moved
-
-    last = None
-    while True:
-        new, moved = after(p, block)
-        if moved <= epsilon:
-            break
-        if last is not None and moved >= last and moved < 1e-12:
-            raise ValueError(f"ranks in doubles don't settle to {epsilon}")
-        p, last = new, moved
-    for _ in range(block - 1):
-        p, moved = after(p, 1)
-        if moved <= epsilon:
-            return p.select("vid", "rank")
-    return new.select("vid", "rank")
+    v = vertices.join(e.groupBy(F.col("src").alias("vid")).agg(F.sum("times").alias("deg")), "vid", "left")
+    v = v if start is None else v.join(start.withColumnRenamed("rank", "r"), "vid", "left")
+    n, m = max(vertices.count(), 1), e.count()
+    side = max(1, math.ceil(math.sqrt(m / TILE)), -(-n // BLOCK))
+    k = F.pmod(F.xxhash64("vid"), F.lit(side)).cast("int")
+    first = F.lit(1.0 / n) if start is None else F.coalesce("r", F.lit(1.0 / n))
+    v = v.select("vid", F.coalesce("deg", F.lit(0)).cast("long").alias("deg"), first.cast("double").alias("rank"), k.alias("k"))
+    v = stage(spark, v.withColumn("i", F.row_number().over(W.partitionBy("k").orderBy("vid")) - 1), "places")
+    a, b = (v.select(F.col("vid").alias(c), F.col("k").alias(f"{x}k"), F.col("i").alias(f"{x}i")) for c, x in (("src", "s"), ("dst", "d")))
+    placed = e.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select("sk", "dk", "si", "di", "times")
+    tiles_ = placed.repartition(side * side, "sk", "dk").groupBy("sk", "dk").applyInArrow(_tile, "sk int, dk int, tile binary").persist()
+    p = stage(spark, v.groupBy("k").applyInArrow(_block, "k int, deg binary, rank binary, moved double"), "blocks")
+    rows = F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("dk")
+    last, rate, earlier, leapt, leaps = None, None, None, None, True
+    try:
+        while True:
+            leap = bool(leaps and rate and earlier and rate < 0.99 and abs(rate - earlier) <= STEADY * rate and last * rate > epsilon)
+            have = p.select(F.col("k").alias("sk"), rows, "deg", "rank")
+            sums = tiles_.hint("merge").join(have, ["sk", "dk"]).select("sk", "dk", "tile", "deg", "rank").mapInArrow(_send, "k int, sk int, a binary, b binary")
+            both = sums.unionByName(p.select("k", F.lit(-1).alias("sk"), F.col("deg").alias("a"), F.col("rank").alias("b")))
+            receive = _receiver(n, rate / (1 - rate) if leap else 0.0)
+            p = stage(spark, both.repartition(side, "k").groupBy("k").applyInArrow(receive, "k int, deg binary, rank binary, moved double"), "ranks")
+            moved = p.agg(F.sum("moved")).first()[0] or 0.0
+            if moved <= epsilon and not leap:
+                ranks = p.select("k", "rank").mapInArrow(_unpacked, "k int, i int, rank double")
+                return v.drop("rank").join(ranks, ["k", "i"]).select("vid", "rank")
+            if last is not None and not leap and moved >= last and moved < 1e-12:
+                raise ValueError(f"ranks in doubles don't settle to {epsilon}")
+            if leapt is not None and moved >= leapt:  # no better than without
+                leaps = False
+            leapt = moved * rate if leap else None
+            rate, earlier, last = (None, None, None) if leap else (moved / last if last else None, rate, moved)
+    finally:
+        tiles_.unpersist()
+
+
+def _tile(rows: pa.Table) -> pa.Table:
+    """Edges of a tile -> one row: how many, then places of sources, places of destinations and times."""
+    si, di, times = (rows.column(c).to_numpy() for c in ("si", "di", "times"))
+    order = np.lexsort((di, si))
+    tile = np.int64(len(si)).tobytes() + si[order].astype("<i4").tobytes() + di[order].astype("<i4").tobytes() + (b"" if (times == 1).all() else times[order].astype("<f8").tobytes())
+    return pa.table({"sk": rows.column("sk").slice(0, 1), "dk": rows.column("dk").slice(0, 1), "tile": pa.array([tile], pa.binary())})
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """Vertices of a block -> one row of arrays in order of their places."""
+    order = np.argsort(rows.column("i").to_numpy())
+    deg, rank = (rows.column(c).to_numpy()[order] for c in ("deg", "rank"))
+    return pa.table({"k": rows.column("k").slice(0, 1), "deg": pa.array([deg.astype("<i8").tobytes()], pa.binary()), "rank": pa.array([rank.astype("<f8").tobytes()], pa.binary()), "moved": pa.array([0.0])})
+
+
+def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A tile with its sources' ranks -> the sums for its destinations, as places and values or, where that is shorter, values alone."""
+    for batch in batches:
+        for sk, dk, tile, deg, rank in zip(*batch.columns, strict=True):
+            tile, deg, rank = tile.as_buffer(), np.frombuffer(deg.as_buffer(), "<i8"), np.frombuffer(rank.as_buffer(), "<f8")
+            m = int(np.frombuffer(tile, "<i8", 1)[0])
+            si, di = np.frombuffer(tile, "<i4", m, 8), np.frombuffer(tile, "<i4", m, 8 + 4 * m)
+            share = (rank / np.maximum(deg, 1))[si]
+            if len(tile) > 8 + 8 * m:
+                share = share * np.frombuffer(tile, "<f8", m, 8 + 8 * m)
+            sums = np.bincount(di, share)
+            at = np.flatnonzero(sums)
+            a, b = (at.astype("<i4").tobytes(), sums[at].tobytes()) if 12 * len(at) < 8 * len(sums) else (b"", sums.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([dk.as_py()], pa.int32()), pa.array([sk.as_py()], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["k", "sk", "a", "b"])
+
+
+def _receiver(n: int, leap: float):
+    """Of a block its degrees and ranks (sk = -1) and all sums for it -> its new ranks, `leap` times the change beyond it, and how far those with out-edges moved in the round."""
+
+    def receive(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("sk").to_numpy())  # always added in the same order
+        a, b = rows.column("a"), rows.column("b")
+        deg, old = np.frombuffer(a[int(order[0])].as_buffer(), "<i8"), np.frombuffer(b[int(order[0])].as_buffer(), "<f8")
+        s = np.zeros(len(old))
+        for j in map(int, order[1:]):
+            at, sums = np.frombuffer(a[j].as_buffer(), "<i4"), np.frombuffer(b[j].as_buffer(), "<f8")
+            if len(at):
+                s[at] += sums
+            else:
+                s[: len(sums)] += sums
+        rank = 0.15 / n + 0.85 * s
+        moved = float(np.abs(rank - old)[deg > 0].sum())
+        rank = np.maximum(rank + leap * (rank - old), 0.0) if leap else rank
+        return pa.table({"k": rows.column("k").slice(0, 1), "deg": pa.array([deg.tobytes()], pa.binary()), "rank": pa.array([rank.tobytes()], pa.binary()), "moved": pa.array([moved])})
+
+    return receive
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, rank in zip(*batch.columns, strict=True):
+            rank = np.frombuffer(rank.as_buffer(), "<f8")
+            for lo in range(0, len(rank), 1 << 16):
+                x = rank[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k.as_py(), np.int32)), pa.array(np.arange(lo, lo + len(x), dtype=np.int32)), pa.array(x)], ["k", "i", "rank"])
 
 
 def wcc(edges: DataFrame | GraphView) -> DataFrame:
