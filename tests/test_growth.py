@@ -128,3 +128,14 @@ def test_rank_rounds_ship_no_row_for_each_edge(spark, monkeypatch):
     want = ranks_model(pairs, range(300))
     assert got.keys() == want.keys() and sum(abs(got[v] - want[v]) for v in want) < 1e-8 / 0.15
     assert not any("times" in p and "tile" not in p for p in plans) and len(plans) < 40
+
+
+def test_rank_warm_start_in_blocks(spark, monkeypatch):
+    """A stream's step starts from the ranks of fewer edges and comes to the ranks of all."""
+    monkeypatch.setattr(algorithms, "TILE", 200, raising=False)
+    rng = random.Random(6)
+    pairs = [(rng.randrange(90), rng.randrange(120)) for _ in range(900)]
+    log = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "eid long, src long, dst long")
+    got = {r["vid"]: r["rank"] for r in runners.Stateful(log, runners.pagerank_step(spark.range(120).toDF("vid")), 2).result().collect()}
+    want = ranks_model(pairs, range(120))
+    assert got.keys() == want.keys() and sum(abs(got[v] - want[v]) for v in want) < 1e-8 / 0.15
