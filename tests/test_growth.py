@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.test_graph import LOG, SF, live_model
+from tidegraph.llm import prefix_hash
 from tidegraph.operators import algorithms, edges
 from tidegraph.plans import registry
 from tidegraph.sources import readers, sinks
@@ -139,3 +140,14 @@ def test_rank_warm_start_in_blocks(spark, monkeypatch):
     got = {r["vid"]: r["rank"] for r in runners.Stateful(log, runners.pagerank_step(spark.range(120).toDF("vid")), 2).result().collect()}
     want = ranks_model(pairs, range(120))
     assert got.keys() == want.keys() and sum(abs(got[v] - want[v]) for v in want) < 1e-8 / 0.15
+
+
+def test_edited_texts_make_no_prefix_arrays(spark):
+    """The columns asked for are op10's own, odd rows included."""
+    rows = [(3, "abcdef"), (1, "xy"), (None, "lone"), (2, None), (3, "abcdef"), (9, ""), (5, "äöü\U0001f600" * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ["doc_id", "n_chars", "edited_sha256"]
+    got = prefix_hash.edits(docs)
+    assert got.columns == columns
+    key = lambda df: sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    assert key(got) == key(prefix_hash.pair_fingerprints(docs))

@@ -224,6 +224,29 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None,
             held = None if guest else (p, doc_id, text)
 
 
+def edit(text: str, after: str) -> tuple[str, str]:
+    """A text whose last n // 2 code points give way to the first n // 2 (or all) of the next one's, and its SHA-256."""
+    half = len(text) // 2
+    edited = text[: len(text) - half] + after[:half]
+    return edited, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def edits(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256) of pair_fingerprints() alone: the same pairs and edits, without prefix arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for doc_id, text, after in neighbours(batches):
+            rows.append((doc_id, len(text), edit(text, after)[1]))
+            if len(rows) >= 2000:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
+
+    return with_next(docs, run, "doc_id long, n_chars long, edited_sha256 string")
+
+
 def pair_fingerprints(docs: DataFrame, span: int = SPAN, keep: int = KEEP) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, same_start).
 
@@ -241,11 +264,10 @@ def pair_fingerprints(docs: DataFrame, span: int = SPAN, keep: int = KEEP) -> Da
             own = last[1] if last[1] is not None and last[0] == text else PrefixHash(text)
             nxt = own if after == text else PrefixHash(after)
             last = (after, nxt)
-            half = len(text) // 2
-            edited = text[: len(text) - half] + after[:half]
+            edited, digest = edit(text, after)
             ed = PrefixHash(edited)
             a, e = own.fingerprint(span, keep), ed.fingerprint(span, keep)
-            rows.append((doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), a, e, span_likeness(own, ed, span), span_likeness(own, nxt, span), longest_common_extension(own, 0, ed, 0)))
+            rows.append((doc_id, len(text), digest, a, e, span_likeness(own, ed, span), span_likeness(own, nxt, span), longest_common_extension(own, 0, ed, 0)))
             if len(rows) >= 2000:
                 yield _batch(rows)
                 rows = []
@@ -256,6 +278,7 @@ def pair_fingerprints(docs: DataFrame, span: int = SPAN, keep: int = KEEP) -> Da
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of all columns, or of the first few."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_start"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds)], names[: len(rows[0])])
